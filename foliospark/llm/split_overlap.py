@@ -145,7 +145,7 @@ def same_answer(aa: str, ab: str, share: float = 0.25) -> bool:
         return False
     if sum(map(len, a)) > sum(map(len, b)):
         a, b = b, a
-    names = _names(aa) | _names(ab)
+    names = _names(re.sub(CITATION, " ", aa)) | _names(re.sub(CITATION, " ", ab))
     left, found, total, used = list(b), 0, sum(map(len, a)), 0
     for s in sorted(a, key=len, reverse=True):
         best, at = 1e9, -1
