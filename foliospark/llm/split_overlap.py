@@ -194,10 +194,10 @@ def class_links(recs: DataFrame) -> DataFrame:
     texts = reps.groupBy("class_id").agg(F.first("q").alias("q"))
     n = texts.count()
     counts = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * COMMON > n)
-    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("w", "df"))).alias("common"))
+    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("w", "df"))).alias("common"))  # one row, of bounded size
     rare = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.coalesce(F.try_element_at(F.col("common"), w), F.lit(0)).alias("df"), F.xxhash64(w).alias("h")))), 1, RARE_WORDS)
     keyed = (
-        reps.crossJoin(F.broadcast(table))  # one row, of bounded size
+        reps.withColumn("common", table.scalar())
         .select("class_id", "side", F.explode(F.transform(rare, lambda x: x["h"])).alias("w"), sentence_signatures(F.col("a")).alias("s"))
         .select("class_id", "side", "w", F.explode_outer("s").alias("s"))
         .select("class_id", "side", F.xxhash64("w", F.coalesce("s", F.lit(0))).alias("key"))
