@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hash_sample(df: DataFrame, rows: int, *keys: str, salt: int = 5) -> DataFrame:
+    """About ``rows`` rows, at most twice as many, chosen by the hash of ``keys``; all rows if there are no more."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * rows / n)).limit(2 * rows)
+
+
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
