@@ -48,7 +48,6 @@ def with_retries(call: Callable[[], list[str]], attempts: int = 3, base: float =
 def generate(df: DataFrame, prompt: str, name: str = "extract", out: str = "answer") -> DataFrame:
     """Adds the answers of a registered generator, Arrow batch by batch."""
     factory = _GENERATORS[name]
-    schema = df.schema.simpleString()[7:-1]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
@@ -57,5 +56,4 @@ def generate(df: DataFrame, prompt: str, name: str = "extract", out: str = "answ
             yield pdf.assign(**{out: with_retries(lambda t=texts: client(t))})
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    del schema
     return df.mapInPandas(run, f"{ddl}, `{out}` string")

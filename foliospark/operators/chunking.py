@@ -131,4 +131,4 @@ def span_issues(chunks: DataFrame) -> DataFrame:
         )
     )
     rows = chunks.where(F.trim("source_path") != "").select("source_path", "chunk_index", "chunk_id", "token_start", "token_end").distinct()
-    return rows.select("source_path", "chunk_index", "chunk_id", F.explode(found).alias("kind"))
+    return rows.withColumn("found", found).select("source_path", "chunk_index", "chunk_id", F.explode("found").alias("kind"))

@@ -25,7 +25,7 @@ def confidence_gate(df: DataFrame, score: Column, threshold: float) -> DataFrame
 
 def missing_fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id_col, field): blank required fields."""
-    found = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "", F.lit(f)) for f in fields)))
+    found = F.array_compact(F.array(*(F.when(~F.coalesce(F.col(f).cast("string"), F.lit("")).rlike(r"(?U)\S"), F.lit(f)) for f in fields)))
     return df.select(id_col, F.explode(found).alias("field"))
 
 

@@ -105,9 +105,6 @@ def describe(df: DataFrame, group: str, value: Column) -> DataFrame:
 
 def grouped_means(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     """Means over everything and per group, by grouping sets; scope tells which."""
-    from functools import reduce
-
-    del reduce
     return (
         df.groupingSets([[], [F.col(group)]], F.col(group))
         .agg(F.grouping(group).alias("g"), F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(f"avg_{m}") for m in metrics))
