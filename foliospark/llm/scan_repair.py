@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.plans.scale import cut, salted_join
+from foliospark.plans.scale import cut, hash_sample, salted_join
 
 SAMPLE_ROWS = 5000
 COMMON = 20_000
@@ -71,8 +71,7 @@ END = re.compile(r"[.!?:;][\"'”»)\]]*\s*$")
 
 
 def _keep_page(line: str) -> bool:
-    m = PAGE_ONLY.match(line)
-    if not m:
+    if len(line) > 40 or not PAGE_ONLY.match(line):
         return False
     core = re.sub(r"[^A-Za-z]", "", line)
     return not re.fullmatch(r"[ivxlcIVXLC]+", core) or bool(ROMAN.match(core)) or bool(re.search(r"\d", line))
@@ -80,6 +79,8 @@ def _keep_page(line: str) -> bool:
 
 def beside(line: str) -> tuple[str, bool]:
     """A line without a page number standing beside it, and whether there was one."""
+    if len(line) > 160 or ("  " not in line and "\t" not in line):
+        return line, False
     m = PAGE_BESIDE.match(line)
     if m and re.search(r"[A-Za-z]{3}", m.group(1)) and not TABLE.search(m.group(1)) and _keep_page(m.group(2)):
         return m.group(1), True
@@ -140,18 +141,47 @@ def returning_lines(chunks: DataFrame) -> DataFrame:
 # --- the line model ----------------------------------------------------------
 
 #: Features of a line and how many values each has.
-SIZES = (2, 3, 2, 2, 4, 3, 27, 2)
+SIZES = (2, 3, 3, 4, 3, 27, 2)
 #: What a state can't have, whatever the counts say: (state, feature, value).
-NEVER = ((1, 1, 0), (1, 0, 1), (1, 3, 1), (2, 0, 0), (0, 3, 1))
+NEVER = ((1, 1, 0), (1, 0, 1), (1, 2, 2), (2, 0, 0), (0, 2, 2), (3, 2, 0))
+
+
+NO_UPPER = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉ")
+NO_LOWER = str.maketrans("", "", "abcdefghijklmnopqrstuvwxyzäöüßé")
+
+
+def _may_be_damaged(lines: list[str], i: int, bare: str, before: dict[int, int], after: dict[int, int]) -> bool:
+    """Whether a line that isn't known to return stands where headers stand: first, or cutting into a sentence, or with a header's words."""
+    if bare[:1].islower():
+        return False
+    if HEADER_WORDS.search(bare):
+        return True
+    if END.search(bare):
+        return False
+    p, q = before.get(i), after.get(i)
+    return p is None or (not END.search(lines[p]) and q is not None and lines[q].lstrip()[:1].islower())
+
+
+def _near(k: str, keys: list[str]) -> bool:
+    """Whether some key is nearly the same string."""
+    m = SequenceMatcher(autojunk=False)
+    m.set_seq2(k)
+    for x in keys:
+        if abs(len(k) - len(x)) <= 6:
+            m.set_seq1(x)
+            if m.quick_ratio() >= 0.86 and m.ratio() >= 0.86:
+                return True
+    return False
 
 
 def features(lines: list[str], keys: list[str], section: str | None) -> np.ndarray:
-    """One row per line: page shape, returning, break shape, blank, length, case, place with the flow before and after, header words."""
+    """One row per line: page shape, returning, break (shape, blank), length, case, place with the flow before and after, header words."""
     n = len(lines)
     out = np.zeros((n, len(SIZES)), dtype=np.int8)
     widths = sorted(len(x) for x in lines if x.strip())
     width = widths[(3 * len(widths)) // 4] if widths else 1
     known = set(keys)
+    plain_section = re.sub(r"[\W\d_]+", "", section.lower()) if section else ""
     names = set(SECTION_NAMES.split())
     full = [i for i, x in enumerate(lines) if x.strip() and not _keep_page(x)]
     before = {b: a for a, b in pairwise(full)}
@@ -159,41 +189,53 @@ def features(lines: list[str], keys: list[str], section: str | None) -> np.ndarr
     for i, line in enumerate(lines):
         s = line.strip()
         if not s:
-            out[i, 3] = 1
+            out[i, 2] = 2
             continue
-        out[i, 0] = _keep_page(line)
-        bare = beside(line)[0].strip()
-        if not out[i, 0]:
+        page = _keep_page(line)
+        out[i, 0] = page
+        bare, marked = (s, False) if page else beside(line)
+        bare = bare.strip()
+        if not page and len(s) <= 160:
             k = fold(bare)
             if k in known:
                 out[i, 1] = 2
-            elif keys and 8 <= len(k) <= 150 and any(abs(len(k) - len(x)) <= 6 and SequenceMatcher(None, k, x).ratio() >= 0.86 for x in keys):
+            elif keys and 8 <= len(k) <= 150 and _may_be_damaged(lines, i, bare, before, after) and _near(k, keys):
                 out[i, 1] = 1
-            words = re.findall(r"[a-z]+", s.lower())
-            named = bool(words) and len(words) <= 4 and all(w in names for w in words) or bool(section) and re.sub(r"[\W\d_]+", "", s.lower()) == re.sub(r"[\W\d_]+", "", section.lower())
-            shape = HEADING.match(line) or LISTED.match(line) or (TABLE.search(line) and not beside(line)[1]) or (FORMULA.match(line) and len(re.findall(r"[A-Za-z]{4,}", s)) <= 4)
+            named = False
+            if len(s) <= 60 and not END.search(s):
+                words = re.findall(r"[a-z]+", s.lower())
+                named = bool(words) and len(words) <= 4 and all(w in names for w in words) or bool(section) and re.sub(r"[\W\d_]+", "", s.lower()) == plain_section
+            shape = (
+                (len(s) <= 75 and HEADING.match(line))
+                or LISTED.match(line)
+                or (not marked and ("  " in s or "\t" in s or "|" in s) and TABLE.search(line))
+                or (any(c in s for c in "=≤≥∑∫^_\\") and FORMULA.match(line) and len(re.findall(r"[A-Za-z]{4,}", s)) <= 4)
+            )
             out[i, 2] = bool(shape) or named
         r = len(s) / max(1, width)
-        out[i, 4] = 0 if r < 0.4 else 1 if r < 0.75 else 2 if r < 1.08 else 3
-        letters = [c for c in s if c.isalpha()]
-        out[i, 5] = 2 if letters and sum(c.isupper() for c in letters) > 0.8 * len(letters) else 1 if s[:1].isupper() else 0
+        out[i, 3] = 0 if r < 0.4 else 1 if r < 0.75 else 2 if r < 1.08 else 3
+        upper = len(s) - len(s.translate(NO_UPPER))
+        lower = len(s) - len(s.translate(NO_LOWER))
+        out[i, 4] = 2 if upper > 4 * lower else 1 if s[:1].isupper() else 0
         p, q = before.get(i), after.get(i)
-        out[i, 7] = bool(HEADER_WORDS.search(bare)) if not out[i, 0] else 0
+        out[i, 6] = bool(HEADER_WORDS.search(bare)) if not out[i, 0] else 0
         place = 0 if p is None else 2 if q is None else 1
         flow = 0 if p is None else 1 if END.search(lines[p]) else 2
         follow = 0 if q is None else 1 if re.match(r"\s*[(\d]?[a-z\d]", lines[q]) and not LISTED.match(lines[q]) else 2
-        out[i, 6] = 9 * place + 3 * flow + follow
+        out[i, 5] = 9 * place + 3 * flow + follow
+        if not out[i, 2] and not page and not out[i, 1] and r < 0.6 and len(s) <= 60 and s[:1].isupper() and not END.search(s) and flow != 2 and follow == 2:
+            out[i, 2] = 1  # stands alone like a title
     return out
 
 
 def seed(f: np.ndarray, ended: np.ndarray) -> np.ndarray:
     """First labels of lines, from which the model's tables are counted."""
     lab = np.zeros(len(f), dtype=np.int8)
-    lab[(f[:, 3] == 1) | (f[:, 2] == 1)] = 3
+    lab[f[:, 2] > 0] = 3
     lab[f[:, 0] == 1] = 2
-    place, flow, follow = f[:, 6] // 9, f[:, 6] % 9 // 3, f[:, 6] % 3
+    place, flow, follow = f[:, 5] // 9, f[:, 5] % 9 // 3, f[:, 5] % 3
     cuts_in = (place == 0) & (follow == 2) | (flow == 2) & (follow == 1)
-    head = (f[:, 1] > 0) & (f[:, 0] == 0) & (f[:, 2] == 0) & (f[:, 5] > 0) & ((f[:, 7] == 1) | ~ended & cuts_in)
+    head = (f[:, 1] > 0) & (f[:, 0] == 0) & (f[:, 2] == 0) & (f[:, 4] > 0) & ((f[:, 6] == 1) | ~ended & cuts_in)
     lab[head] = 1
     return lab
 
@@ -288,6 +330,8 @@ def fit_lines(texts: list[tuple[list[str], list[str], str | None]], rounds: int
 
 # --- words -------------------------------------------------------------------
 
+# Private characters around a hyphen whose sense is still open.
+CUT, CUT_END = "\ue000", "\ue001"
 STRIP_LEFT = "\"'“”‘’«»([{<*_`~"
 STRIP_RIGHT = "\"'“”‘’«»)]}>.,;:!?*_`~…"
 
@@ -297,10 +341,10 @@ def split_words(text: str) -> list[str]:
     out = []
     for w in text.split():
         w = w.lstrip(STRIP_LEFT).rstrip(STRIP_RIGHT)
-        if len(w) > 1 and any(c.isalpha() for c in w):
+        if len(w) > 1 and w.lower() != w.upper():
             out.append(w)
             if "-" in w:
-                out += [p for p in w.split("-") if len(p) > 1 and any(c.isalpha() for c in p)]
+                out += [p for p in w.split("-") if len(p) > 1 and p.lower() != p.upper()]
     return out
 
 
@@ -367,9 +411,8 @@ def reading(lines: list[str], labels: np.ndarray) -> list[tuple[str, str]]:
         s = line.strip(" \t\r")
         if kind == "body" and blocks:
             prev = blocks[-1][1]
-            m = re.search(rf"([^\W\d_][^\s]*|[^\W\d_])([{HYPHENS}])$", prev)
-            if m and s[:1].isalpha():
-                blocks[-1][1] = prev[:-1] + "" + m.group(2) + "" + s
+            if prev[-1:] and prev[-1] in HYPHENS and prev[-2:-1].isalpha() and s[:1].isalpha():
+                blocks[-1][1] = prev[:-1] + CUT + prev[-1] + CUT_END + s
             else:
                 blocks[-1][1] = prev + " " + s
         else:
@@ -378,7 +421,7 @@ def reading(lines: list[str], labels: np.ndarray) -> list[tuple[str, str]]:
     return [(a, b) for a, b in blocks]
 
 
-DIVIDED = re.compile("(\\S*)(.)(\\S*)")
+DIVIDED = re.compile(rf"(\S*){CUT}(.){CUT_END}(\S*)")
 
 
 def _core(word: str) -> str:
@@ -402,7 +445,7 @@ def prepare(chunks: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFram
     base = chunks.where("chunk_id is not null and length(trim(text)) > 0").select("chunk_id", F.coalesce(F.trim("source_path"), F.lit("")).alias("source"), F.col("section_title").alias("section"), "text")
     heads = cut(returning_lines(base))
     with_keys = salted_join(base, heads, "source", "n", F.col("chunk_id"), "left")
-    sample = with_keys.where(F.contains("text", F.lit("\n"))).orderBy(F.xxhash64("chunk_id", F.lit(3)), "chunk_id").limit(sample_rows)
+    sample = hash_sample(with_keys.where(F.contains("text", F.lit("\n"))), sample_rows, "chunk_id", "text", salt=3)
     model = fit_lines([(re.split(r"\r?\n", r["text"]), list(r["keys"] or []), r["section"]) for r in sample.select("text", "keys", "section").collect()])
     counts = cut(word_counts(base))
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -429,7 +472,7 @@ def line_findings(with_keys: DataFrame, model: LineModel, common: set[str]) -> D
                         continue
                     for d in DIVIDED.finditer(text):
                         left, h, right = d.groups()
-                        if left.lstrip(STRIP_LEFT) and right.rstrip(STRIP_RIGHT) and "" not in left + right:
+                        if left.lstrip(STRIP_LEFT) and right.rstrip(STRIP_RIGHT) and CUT not in left + right:
                             rows.append((cid, "sure" if h in ALWAYS_DIVIDES else "divided", _core(left + right).lower(), _core(left + "-" + right).lower()))
                     whole = DIVIDED.sub(lambda d: d.group(1) + d.group(3), text)
                     for w in {x.lower() for x in split_words(whole)}:
