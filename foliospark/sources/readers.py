@@ -49,7 +49,7 @@ def read_chunk_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, text): every .txt below a folder, one row each."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_split_dirs(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
