@@ -52,10 +52,10 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread
     bounded - are spread over salts by ``spread``; all others use salt 0.
     ``count`` is dropped from the result. Null keys of ``rows`` match nothing.
     """
-    total = lookup.agg(F.sum(count).alias("__total"))
     hot = (
         lookup.select(key, count)
-        .join(F.broadcast(total), F.col(count) * HOT_SHARE > F.col("__total"))
+        .withColumn("__total", lookup.agg(F.sum(count)).scalar())
+        .where(F.col(count) * HOT_SHARE > F.col("__total"))
         .select(F.col(key).alias("__hot"), F.least(F.ceil(F.col(count) * HOT_SHARE / F.col("__total")), F.lit(MAX_SALTS)).cast("int").alias("__salts"))
     )
     hot = F.broadcast(hot)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import citations as C
 from foliospark.functions import plugins, quality, text
-from foliospark.operators import catalog, chunking, compare, dataset, pairwise, retrieval, scoring
+from foliospark.operators import catalog, chunking, compare, dataset, pairwise, reports, retrieval, scoring
 from foliospark.sources import writers
 from foliospark.sources.tables import table
 from foliospark.streaming import incremental as inc
@@ -635,6 +635,86 @@ def orders_rollup(spark: SparkSession, d: str) -> DataFrame:
     return j.rollup("n_name", "c_mktsegment").agg((F.grouping("n_name") + F.grouping("c_mktsegment")).cast("bigint").alias("level"), F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+# --- reports -------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'calibration error') OR contains(lower(coalesce(title, '')), 'calibration error')")
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    return reports.search(table(spark, d, "documents").select("doc_id", "text", "title"), "calibration error", "text", "title").select("doc_id")
+
+
+@query("SELECT t.task_id, c.condition FROM (SELECT DISTINCT task_id FROM task_records) t, (SELECT unnest(['base', 'rag']) AS condition) c WHERE NOT (c.condition = 'rag' AND t.task_id IN (SELECT task_id FROM match_results WHERE task_id IS NOT NULL))")
+def work_grid(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "match_results").select("task_id", F.lit("rag").alias("condition"))
+    return reports.work_grid(table(spark, d, "task_records").select("task_id").distinct(), ["base", "rag"], done, "task_id")
+
+
+@query("WITH t AS (SELECT doc_path FROM task_records WHERE doc_path IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, doc_path LIMIT 10) SELECT doc_path, coalesce(task_type, 'unknown') AS task_type, count(*) AS n FROM task_records JOIN t USING (doc_path) GROUP BY 1, 2")
+def top_documents(spark: SparkSession, d: str) -> DataFrame:
+    return reports.top_documents(table(spark, d, "task_records").select("doc_path", "task_type"), "doc_path", "task_type")
+
+
+@query(f"WITH e AS (SELECT {_REF} AS r, len(c) AS n FROM {_CTX}) SELECT count(*) AS examples, count(*) FILTER (WHERE n > 0) AS with_contexts, count(*) FILTER (WHERE len(r) > 0) AS with_markers, count(*) FILTER (WHERE len(list_filter(range(1, n + 1), lambda x: NOT list_contains(r, x))) > 0) AS with_missing, count(*) FILTER (WHERE len(list_filter(r, lambda x: x < 1 OR x > n)) > 0) AS with_extra, sum(len(r))::BIGINT AS markers, round(avg(n), 6) AS mean_contexts FROM e")
+def citation_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return reports.citation_rollup(_with_contexts(spark, d), F.col("a"), F.col("c"))
+
+
+@query("SELECT count(*) AS n, round(avg((g >= 0.6 AND c >= 0.5)::INT), 6) AS pass_rate, round(avg(g), 6) AS mean_grounding, round(avg(c), 6) AS mean_clarity FROM (SELECT element_at(scores_a, 'grounding')[1] AS g, element_at(scores_a, 'clarity')[1] AS c FROM judgments)")
+def judge_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    g, c = F.try_element_at("scores_a", F.lit("grounding")), F.try_element_at("scores_a", F.lit("clarity"))
+    return reports.judge_aggregate(table(spark, d, "judgments"), (g >= 0.6) & (c >= 0.5), {"grounding": g, "clarity": c})
+
+
+@query("SELECT lower(trim(reasoning))[1:100] AS issue, count(*) AS n FROM judgments WHERE trim(reasoning) <> '' GROUP BY 1 ORDER BY n DESC, issue LIMIT 20")
+def frequent_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return reports.frequent_issues(table(spark, d, "judgments"), F.array_compact(F.array("reasoning")))
+
+
+@query("WITH p AS (SELECT venue_id, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY n DESC, lang) AS r, count(*) OVER (PARTITION BY venue_id) AS k FROM p) SELECT venue_id, lang AS main_language, k AS n_languages, k > 1 AS mixed FROM r WHERE r = 1")
+def language_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.language_summary(table(spark, d, "documents"), "venue_id", "lang")
+
+
+@query("SELECT setup, round(avg(params_b), 6) AS mean, round(stddev_pop(params_b), 6) AS spread FROM model_cards GROUP BY 1")
+def setup_means(spark: SparkSession, d: str) -> DataFrame:
+    return reports.mode_means(table(spark, d, "model_cards"), "setup", F.col("params_b"))
+
+
+@query("SELECT count(x) AS n, round(avg(x), 6) AS mean_diff, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 6) AS t FROM (SELECT element_at(scores_a, 'grounding')[1] - element_at(scores_b, 'grounding')[1] AS x FROM judgments)")
+def paired_t(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "judgments").select(F.try_element_at("scores_a", F.lit("grounding")).alias("a"), F.try_element_at("scores_b", F.lit("grounding")).alias("b"))
+    return reports.paired_t(j, "a", "b")
+
+
+@query(f"WITH p AS (SELECT pair_id, count(*) AS n, min(v) = max(v) AS s FROM (SELECT pair_id, judge_name, min({_VERDICT}) AS v FROM judgments GROUP BY 1, 2) WHERE v IS NOT NULL GROUP BY 1) SELECT count(*) AS n_items, count(*) FILTER (WHERE n >= 2) AS n_multi, count(*) FILTER (WHERE n >= 2 AND s) AS n_unanimous, round(count(*) FILTER (WHERE n >= 2 AND s) / count(*) FILTER (WHERE n >= 2), 6) AS unanimous_rate FROM p")
+def agreement_stats(spark: SparkSession, d: str) -> DataFrame:
+    return reports.agreement_stats(votes(spark, d).groupBy("pair_id", "judge_name").agg(F.min("verdict").alias("v")), "pair_id", "v")
+
+
+@query("SELECT model_name FROM model_cards WHERE model_name NOT IN (SELECT replace(lower(trim(model_a)), '_', '-') FROM match_results WHERE model_a IS NOT NULL)")
+def models_without_first_seat(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "match_results").select(pairwise.clean_name(F.col("model_a")).alias("model_name"))
+    return table(spark, d, "model_cards").select("model_name").join(seen.distinct(), "model_name", "left_anti")
+
+
+@query("SELECT task_id, 'chunks' AS missing FROM (SELECT DISTINCT task_id, metadata FROM offline_examples WHERE task_id IS NOT NULL) WHERE metadata IS NULL OR json_extract(metadata, '$.chunks') IS NULL")
+def metadata_gaps(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "offline_examples").where("task_id is not null").select("task_id", "metadata").distinct()
+    return reports.missing_keys(e, "metadata", ["chunks"], "task_id").select("task_id", F.col("missing")[0].alias("missing"))
+
+
+@query("WITH a AS (SELECT DISTINCT trim(unnest(authors)) AS author, coalesce(nullif(trim(canonical_id), ''), arxiv_id, title) AS p FROM papers) SELECT author, count(*) AS n FROM a WHERE author <> '' GROUP BY 1")
+def author_papers(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "papers").select(F.explode(reports.name_list(F.coalesce("authors", F.array().cast("array<string>")))).alias("author"), F.coalesce(F.nullif(F.trim("canonical_id"), F.lit("")), "arxiv_id", "title").alias("p"))
+    return p.distinct().groupBy("author").agg(F.count("*").alias("n"))
+
+
+@query()
+def task_record_ids(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "task_records").where("trim(doc_path) <> ''").dropDuplicates(["task_id"]).select("task_id", text.path_stem(F.col("doc_path")).alias("doc"), text.task_type(F.col("task_type")).alias("kind"), "instruction")
+    return reports.task_records(t, "doc", "kind", "instruction", "task_id", 99).select("task_id", "record_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

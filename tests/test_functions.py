@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import citations as C
 from foliospark.functions import plugins, quality, text
-from foliospark.operators import catalog, chunking, compare, dataset, pairwise, retrieval, scoring
+from foliospark.operators import catalog, chunking, compare, dataset, pairwise, reports, retrieval, scoring
 from foliospark.plans import scale
 from foliospark.sources import readers, writers
 from foliospark.streaming import incremental as inc
@@ -284,3 +284,24 @@ def test_plugins(spark):
         return ["ok"]
 
     assert plugins.with_retries(flaky, 3, 0.0) == ["ok"]
+
+
+def test_t_distribution():
+    assert abs(reports.t_two_sided(2.228139, 10) - 0.05) < 1e-6 and abs(reports.t_two_sided(0.0, 5) - 1) < 1e-12
+    assert abs(reports.t_quantile(0.975, 10) - 2.228139) < 1e-5
+    lo, hi = reports.mean_interval(11, 5.0, 2.0)
+    assert abs((hi - lo) / 2 - 2.228139 * 2 / math.sqrt(11)) < 1e-5 and reports.mean_interval(1, 5.0, 0.0) == (5.0, 5.0)
+
+
+def test_report_pieces(spark):
+    assert reports.balance_buckets([("x", 5), ("y", 4), ("z", 3)], {"train": 8, "eval": 4}) == {"x": "train", "y": "eval", "z": "train"}
+    m = spark.createDataFrame([(1, "A", "m1", "m1"), (1, "B", "m1", "m1"), (2, "a", "m2", "m1"), (2, "tie", "m2", "m1")], "b int, v string, first string, model_a string")
+    got = [r.outcome for r in reports.unblind(m.select("b", "v"), m.select("b", "first", "model_a").distinct(), ["b"], "v", "first", "model_a").orderBy("b", "v").collect()]
+    assert got == ["win_a", "win_b", "win_b", "tie"]
+    u = [[1.0, 0.0], [0.0, 1.0]]
+    f = reports.greedy_match_f1(F.col("a"), F.col("b"))
+    assert one(spark, f["f1"], a=("array<array<double>>", u), b=("array<array<double>>", u)) == 1.0
+    assert one(spark, reports.windows_of(F.col("t"), 2, 3), t=("string", "abcdefgh")) == ["abc", "fgh"]
+    assert one(spark, reports.range_phrase(F.col("a"), F.lit(4), "questions"), a=("int", 3)) == "3 to 4 questions"
+    e = spark.createDataFrame([("m", {"generation": "x", "judge": "y"}), ("m", {"judge": "y"}), ("m", {})], "l string, e map<string,string>")
+    assert sorted((r.kind, r.n) for r in reports.error_breakdown(e, "l", "e").collect()) == [("both", 1), ("judge", 1)]
