@@ -100,6 +100,9 @@ log in again to continue
 unable to load the full text at this time
 the requested document has been moved or no longer exists
 sorry this page could not be displayed
+this page could not be displayed
+could not be displayed
+oops
 something went wrong while loading this article
 vuelva al inicio
 retour à l accueil
@@ -284,7 +287,7 @@ mattis ornare tincidunt tincid porta vivamus aenean donec nunc integer vestibulu
 asdf qwer asdfgh qwerty jkl foo bar baz test blah
 """
 FIELD = re.compile(
-    r"\{\{\s*[\w .]{1,60}\s*\}\}|\$\{\s*[\w.]{1,60}\s*\}|<<\s*[\w .]{1,60}\s*>>|\[\[\s*[\w .]{1,60}\s*\]\]|@@[\w.]{1,60}@@|__[A-Za-z][\w.]{0,60}?__|%[A-Za-z][\w.]{1,60}%|#[A-Za-z][\w.]{1,60}#"
+    r"\{\{\s*[\w .]{1,60}\s*\}\}|\$\{\s*[\w.]{1,60}\s*\}|<<\s*[\w .]{1,60}\s*>>|\[\[\s*[\w .]{1,60}\s*\]\]|@@[\w.]{1,60}@@|__[A-Za-z][\w.]{0,60}?__|%[A-Za-z][\w.]{1,60}%|#[A-Za-z][\w.]{1,60}#|\bXX_[\w.]{1,60}_XX\b|::[A-Za-z][\w.]{1,60}::|\*\|[\w.]{1,60}\|\*|<%=?\s*[\w.]{1,60}\s*%>|\{%\s*[\w. ]{1,60}\s*%\}"
     r"|(?:<|&lt;)\s*(?:insert\s+|your\s+|enter\s+)?[A-Za-z][\w.]{2,60}\s*(?:>|&gt;)|\[\s*(?:todo:?\s*|tbd:?\s*|insert\s+|your\s+|enter\s+)?[A-Za-z][\w.]{2,60}(?:\s+here)?\s*\]|\{\s*[A-Za-z][\w.]{2,60}\s*\}",
     re.I,
 )
