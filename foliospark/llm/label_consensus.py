@@ -12,7 +12,9 @@ per item once - an item holds at most annotators x classes entries however many
 rows it has. Given sigma, tau and the posterior of an item depend on its own
 votes only, so an iteration is one pass that keeps no state per item and returns
 sums per annotator; sigma (annotators x classes squared) is the only shared
-state, and its size is checked against ``max_annotators``.
+state. Up to ``max_annotators`` it is broadcast; beyond that it stays a table that
+is joined with the votes in every iteration, and nothing per annotator reaches
+the driver.
 
 Defined results: unknown labels, null annotators and failed attempts are no
 votes; an item without votes gets the most frequent class, no agreement and the
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.plans.scale import cut
+from foliospark.plans.scale import cut, salted_join
 
 VERDICTS = ("win_a", "win_b", "tie")
 
@@ -85,79 +87,153 @@ def _solve_items(n: int, j: np.ndarray, a: np.ndarray, k: np.ndarray, sigma: np.
     return post, p
 
 
+def _start(c: int) -> np.ndarray:
+    """Tilts of an annotator who is right in seven cases of ten."""
+    rest = 0.3 / max(1, c - 1)
+    s = np.log(np.full((c, c), rest) + np.eye(c) * (0.7 - rest))
+    return s - s.mean(1, keepdims=True)
+
+
+def _batch_sums(pdf: pd.DataFrame, j: np.ndarray, k: np.ndarray, own: np.ndarray, tilts: np.ndarray, share: np.ndarray, beta: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per vote: posterior weight on the label given, and on each label expected (votes x C x C each); summed posteriors of the items."""
+    c = len(share)
+    post, p = _solve_items(len(pdf), j, own, k, tilts, share, beta, rounds)
+    w = post[j]
+    return w[:, :, None] * np.eye(c)[k][:, None, :], w[:, :, None] * p, post[np.unique(j)].sum(0)
+
+
+def _advance(sigma: np.ndarray, given: np.ndarray, expected: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """One ascent step of the dual in the annotators' tilts, and its largest move."""
+    step = (given - expected - alpha * sigma) / (expected + alpha)
+    return sigma + np.clip(step, -1.0, 1.0), float(np.abs(step).max()) if step.size else 0.0
+
+
 def fit(items: DataFrame, classes: tuple[str, ...], gamma: float = 0.25, iterations: int = 40, rounds: int = 3, tol: float = 5e-3, max_annotators: int = 100_000) -> dict:
-    """sigma, class shares and statistics of a gathered, materialised table of items."""
+    """Tilts, class shares and settings from a gathered, materialised table of items."""
     c = len(classes)
-    seen = items.select(F.explode("votes").alias("v")).groupBy(F.col("v.a").alias("a")).agg(F.count("*").alias("n")).orderBy("a").limit(max_annotators + 1).collect()
-    if len(seen) > max_annotators:
-        raise ValueError(f"more than {max_annotators} annotators; raise max_annotators if their {c}x{c} tables fit in memory")
-    names = [r["a"] for r in seen]
-    index = {x: i for i, x in enumerate(names)}
-    votes = sum(r["n"] for r in seen)
+    per = items.select(F.explode("votes").alias("v")).groupBy(F.col("v.a").alias("a")).agg(F.count("*").alias("n"))
+    size = per.agg(F.count("*").alias("j"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
     n_items = items.where(F.size("votes") > 0).count()
     alpha = gamma * c * c
-    beta = alpha * (votes / max(1, len(names))) / max(1.0, votes / max(1, n_items))
-    good, rest = 0.7, 0.3 / max(1, c - 1)
-    sigma = np.tile(np.log(np.full((c, c), rest) + np.eye(c) * (good - rest)), (len(names), 1, 1))
-    sigma -= sigma.mean(2, keepdims=True)
-    share = np.full(c, 1.0 / c)
-    model = {"names": names, "index": index, "beta": beta, "classes": classes, "rounds": rounds}
-    if not names:
-        return model | {"sigma": sigma, "share": share}
+    beta = alpha * (size["v"] / max(1, size["j"])) / max(1.0, size["v"] / max(1, n_items))
+    model = {"beta": beta, "classes": classes, "rounds": rounds, "share": np.full(c, 1.0 / c)}
+    if size["j"] > max_annotators:
+        return _fit_joined(items, per, model, alpha, iterations, tol)
+    names = [r["a"] for r in per.select("a").orderBy("a").collect()]  # at most max_annotators
+    index = {x: i for i, x in enumerate(names)}
+    sigma, share = np.tile(_start(c), (len(names), 1, 1)), model["share"]
     cols = [f"s{i}" for i in range(2 * c * c)]
     schema = "a int, " + ", ".join(f"{x} double" for x in cols)
 
-    for _ in range(iterations):
+    for _ in range(iterations if names else 0):
         state = items.sparkSession.sparkContext.broadcast((sigma, share, index))
 
         def sums(it: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             sg, sh, ix = state.value
-            seen_n = np.zeros((len(ix), c, c))
-            expected = np.zeros((len(ix), c, c))
-            total = np.zeros(c)
+            given, expected, total = np.zeros((len(ix), c, c)), np.zeros((len(ix), c, c)), np.zeros(c)
             for pdf in it:
                 j, a, k = _flat(pdf, ix)
-                if not len(j):
-                    continue
-                post, p = _solve_items(len(pdf), j, a, k, sg, sh, beta, rounds)
-                w = post[j]
-                onehot = np.eye(c)[k]
-                np.add.at(seen_n, a, w[:, :, None] * onehot[:, None, :])
-                np.add.at(expected, a, w[:, :, None] * p)
-                total += post[np.unique(j)].sum(0)
-            out = pd.DataFrame(np.hstack([seen_n.reshape(len(ix), -1), expected.reshape(len(ix), -1)]), columns=cols)
+                if len(j):
+                    g, e, t = _batch_sums(pdf, j, k, a, sg, sh, beta, rounds)
+                    np.add.at(given, a, g)
+                    np.add.at(expected, a, e)
+                    total += t
+            out = pd.DataFrame(np.hstack([given.reshape(len(ix), -1), expected.reshape(len(ix), -1)]), columns=cols)
             out.insert(0, "a", np.arange(len(ix), dtype=np.int32))
             extra = pd.DataFrame([[-1, *total, *[0.0] * (len(cols) - c)]], columns=["a", *cols])
             yield pd.concat([out, extra.astype({"a": np.int32})])
 
         got = items.select("votes").mapInPandas(sums, schema).groupBy("a").agg(*(F.sum(x).alias(x) for x in cols)).toPandas().sort_values("a")
         state.destroy()
-        total = got.iloc[0, 1 : 1 + c].to_numpy(dtype=float)
         body = got.iloc[1:, 1:].to_numpy(dtype=float)
-        seen_n, expected = body[:, : c * c].reshape(-1, c, c), body[:, c * c :].reshape(-1, c, c)
-        step = (seen_n - expected - alpha * sigma) / (expected + alpha)
-        sigma = sigma + np.clip(step, -1.0, 1.0)
+        sigma, moved = _advance(sigma, body[:, : c * c].reshape(-1, c, c), body[:, c * c :].reshape(-1, c, c), alpha)
+        total = got.iloc[0, 1 : 1 + c].to_numpy(dtype=float)
         new_share = (total + 1.0) / (total.sum() + c)
-        moved = max(np.abs(step).max(), np.abs(new_share - share).max())
+        moved = max(moved, np.abs(new_share - share).max())
         share = new_share
         if moved < tol:
             break
-    return model | {"sigma": sigma, "share": share}
+    return model | {"names": names, "index": index, "sigma": sigma, "share": share}
+
+
+def _joined(items: DataFrame, table: DataFrame) -> DataFrame:
+    """(item, votes array<struct<a, k, s>>): votes with their annotators' tilts; annotators of very many votes are spread over salts."""
+    v = items.select("item", F.explode("votes").alias("v")).select("item", F.col("v.a").alias("a"), F.col("v.k").alias("k"))
+    rows = salted_join(v, table.select("a", "s", "n"), "a", "n", F.col("item"))
+    return rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("a", "k", "s"))).alias("votes"))
+
+
+def _flat_joined(pdf: pd.DataFrame, c: int) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Item number, annotator, label and tilts of every vote of a batch."""
+    flat = [(n, v["a"], v["k"], v["s"]) for n, votes in enumerate(pdf["votes"]) for v in votes]
+    tilts = np.array([f[3] for f in flat], dtype=float).reshape(-1, c, c)
+    return np.array([f[0] for f in flat], dtype=np.int64), [f[1] for f in flat], np.array([f[2] for f in flat], dtype=np.int64), tilts
+
+
+def _fit_joined(items: DataFrame, per: DataFrame, model: dict, alpha: float, iterations: int, tol: float) -> dict:
+    """The same iterations with the tilts as a table."""
+    c = len(model["classes"])
+    beta, rounds = model["beta"], model["rounds"]
+    start = F.array(*(F.lit(float(x)) for x in _start(c).ravel()))
+    table, share = cut(per.select("a", "n", start.alias("s"))), model["share"]
+    cols = [f"s{i}" for i in range(2 * c * c)]
+    schema = "a string, " + ", ".join(f"{x} double" for x in cols)
+    for _ in range(iterations):
+        now = share
+
+        def sums(it: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                j, a, k, tilts = _flat_joined(pdf, c)
+                if len(j):
+                    g, e, t = _batch_sums(pdf, j, k, np.arange(len(j)), tilts, now, beta, rounds)
+                    out = pd.DataFrame(np.hstack([g.reshape(len(j), -1), e.reshape(len(j), -1)]), columns=cols)
+                    out.insert(0, "a", a)
+                    yield out.groupby("a", as_index=False).sum()
+                    yield pd.DataFrame([[None, *t, *[0.0] * (len(cols) - c)]], columns=["a", *cols])
+
+        got = cut(_joined(items, table).mapInPandas(sums, schema).groupBy("a").agg(*(F.sum(x).alias(x) for x in cols)))
+
+        def ascend(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                body = pdf[cols].to_numpy(dtype=float)
+                old = np.array(pdf["s"].tolist(), dtype=float).reshape(-1, c, c)
+                new, _ = _advance(old, body[:, : c * c].reshape(-1, c, c), body[:, c * c :].reshape(-1, c, c), alpha)
+                yield pd.DataFrame({"a": pdf["a"], "n": pdf["n"], "s": list(new.reshape(-1, c * c)), "moved": np.abs(new - old).max((1, 2))})
+
+        total = np.array([got.where("a is null").first()[x] for x in cols[:c]], dtype=float)
+        stepped = cut(table.join(got.where("a is not null"), "a").mapInPandas(ascend, "a string, n bigint, s array<double>, moved double"))
+        new_share = (total + 1.0) / (total.sum() + c)
+        moved = max(stepped.agg(F.max("moved")).first()[0] or 0.0, np.abs(new_share - share).max())
+        table, share = stepped.select("a", "n", "s"), new_share
+        if moved < tol:
+            break
+    return model | {"table": table, "share": share}
 
 
 def consensus(items: DataFrame, model: dict) -> DataFrame:
     """(item, label, confidence, agreement, n_votes): agreement is the share of agreeing pairs of votes, null for under two."""
-    state = items.sparkSession.sparkContext.broadcast(model)
     c = len(model["classes"])
+    table = model.get("table")
+    state = items.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})
+    joined = table is not None
+    rows = items.select("item", "votes")
+    if joined:
+        rows = items.select("item").join(_joined(items, table), "item", "left")
 
     def label(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = state.value
         for pdf in it:
-            j, a, k = _flat(pdf, m["index"])
+            if joined:
+                pdf = pdf.assign(votes=[v if v is not None else [] for v in pdf["votes"]])
+                j, names, k, tilts = _flat_joined(pdf, c)
+                a = np.arange(len(names))
+            else:
+                j, a, k = _flat(pdf, m["index"])
+                tilts = m["sigma"]
             post = np.tile(m["share"], (len(pdf), 1))
             counts = np.zeros((len(pdf), c))
             if len(j):
-                got, _ = _solve_items(len(pdf), j, a, k, m["sigma"], m["share"], m["beta"], m["rounds"])
+                got, _ = _solve_items(len(pdf), j, a, k, tilts, m["share"], m["beta"], m["rounds"])
                 has = np.unique(j)
                 post[has] = got[has]
                 np.add.at(counts, (j, k), 1.0)
@@ -175,17 +251,28 @@ def consensus(items: DataFrame, model: dict) -> DataFrame:
                 }
             )
 
-    return items.select("item", "votes").mapInPandas(label, "item string, label string, confidence double, agreement double, n_votes bigint")
+    return rows.mapInPandas(label, "item string, label string, confidence double, agreement double, n_votes bigint")
 
 
 def reliability(items: DataFrame, model: dict) -> DataFrame:
     """(annotator, reliability, n_votes): chance that the annotator names the true class of an item without a tilt of its own."""
-    spark = items.sparkSession
-    z = model["sigma"]
-    p = np.exp(z - z.max(2, keepdims=True)) if len(z) else z
-    p = p / p.sum(2, keepdims=True) if len(z) else p
-    acc = np.einsum("icc,c->i", p, model["share"]) if len(z) else np.zeros(0)
-    rows = spark.createDataFrame([(n, float(x)) for n, x in zip(model["names"], acc, strict=True)], "annotator string, reliability double")
+    c = len(model["classes"])
+    share = model["share"]
+
+    def chance(z: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(2, keepdims=True))
+        return np.einsum("icc,c->i", p / p.sum(2, keepdims=True), share)
+
+    if "table" in model:
+
+        def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                z = np.array(pdf["s"].tolist(), dtype=float).reshape(-1, c, c)
+                yield pd.DataFrame({"annotator": pdf["a"], "reliability": chance(z), "n_votes": pdf["n"]})
+
+        return model["table"].mapInPandas(score, "annotator string, reliability double, n_votes bigint")
+    acc = chance(model["sigma"]) if model["names"] else np.zeros(0)
+    rows = items.sparkSession.createDataFrame([(n, float(x)) for n, x in zip(model["names"], acc, strict=True)], "annotator string, reliability double")
     votes = items.select(F.explode("votes").alias("v")).groupBy(F.col("v.a").alias("annotator")).agg(F.count("*").alias("n_votes"))
     return rows.join(votes, "annotator")
 

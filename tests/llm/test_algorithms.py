@@ -5,7 +5,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import format_duplicates, label_consensus, linked_splits, luce_ranking, split_overlap
@@ -203,8 +202,24 @@ def test_consensus_beats_majority(spark):
     assert min(rel[f"good{j}"] for j in range(3)) > max(rel[f"bad{j}"] for j in range(3))
 
 
-def test_consensus_empty_and_bound(spark):
+def test_consensus_empty(spark):
     t = spark.createDataFrame([("p", "a", "tie", None, "")], J)
     assert rows(label_consensus.found(t.where("false"))) == []
-    with pytest.raises(ValueError):
-        label_consensus.fit(label_consensus.gather(t, "pair_id", "judge_name", "verdict", F.lit(False), label_consensus.VERDICTS), label_consensus.VERDICTS, max_annotators=0)
+
+
+def test_consensus_with_tilts_as_table(spark):
+    rng = random.Random(6)
+    data = []
+    for i in range(60):
+        y = rng.choice(label_consensus.VERDICTS)
+        data += [(f"p{i}", f"j{j}", y if rng.random() < 0.4 + 0.12 * j else rng.choice(label_consensus.VERDICTS), None, "") for j in range(5)]
+    data.append(("none", "j0", None, "boom", ""))
+    items = label_consensus.gather(spark.createDataFrame(data, J), "pair_id", "judge_name", "verdict", F.col("verdict").isNull(), label_consensus.VERDICTS).cache()
+    a = label_consensus.fit(items, label_consensus.VERDICTS, iterations=3)
+    b = label_consensus.fit(items, label_consensus.VERDICTS, iterations=3, max_annotators=1)
+    assert np.allclose(a["share"], b["share"]) and "table" in b
+    one = {r.item: (r.label, round(r.confidence, 6)) for r in label_consensus.consensus(items, a).collect()}
+    two = {r.item: (r.label, round(r.confidence, 6)) for r in label_consensus.consensus(items, b).collect()}
+    assert one == two and len(one) == 61
+    ra = {r.annotator: round(r.reliability, 6) for r in label_consensus.reliability(items, a).collect()}
+    assert ra == {r.annotator: round(r.reliability, 6) for r in label_consensus.reliability(items, b).collect()}
