@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K_FACTOR, INITIAL, TIE = 32.0, 1500.0, 0.5
+#: A resampled tournament is laid out in blocks of so many games.
+BLOCK_GAMES = 100_000
 
 
 def expected_score(own: Column, other: Column) -> Column:
@@ -67,18 +69,17 @@ def position_bias(matches: DataFrame, first: Column, winner: Column) -> DataFram
     return c.withColumn("z", F.round(F.when(n > 0, (F.col("wins_first") - n / 2) / F.sqrt(n / 4)).otherwise(0.0), 6))
 
 
-def _fold(games: pd.DataFrame, k: float, initial: float, tie: float) -> dict[str, float]:
-    r: dict[str, float] = {}
+def _fold(games: pd.DataFrame, r: dict[str, float], k: float = K_FACTOR, initial: float = INITIAL, tie: float = TIE) -> None:
+    """Update the ratings ``r`` by games in order."""
     for a, b, o in zip(games["model_a"], games["model_b"], games["outcome"], strict=True):
         ra, rb = r.get(a, initial), r.get(b, initial)
         e = 1 / (1 + math.pow(10, (rb - ra) / 400))
         s = 1.0 if o == "win_a" else 0.0 if o == "win_b" else tie
         r[a], r[b] = ra + k * (s - e), rb + k * (e - s)
-    return r
 
 
-def elo(games: DataFrame, group: str | None = None, order: tuple[str, ...] = ("ord", "match_id"), k: float = K_FACTOR, initial: float = INITIAL, tie: float = TIE) -> DataFrame:
-    """(group, model, rating): ratings after all games in order, one sequential fold per group.
+def elo(games: DataFrame, group: str | None = None, order: tuple[str, ...] = ("ord", "match_id"), k: float = K_FACTOR, initial: float = INITIAL, tie: float = TIE, start: dict[str, float] | None = None) -> DataFrame:
+    """(tournament, model, rating): ratings after all games in order, one sequential fold per group; ``start`` holds earlier ratings.
 
     The update depends on everything before it, so a group is one task by
     definition; several tournaments run side by side. A group streams through
@@ -89,13 +90,13 @@ def elo(games: DataFrame, group: str | None = None, order: tuple[str, ...] = ("o
 
     def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: str | None = None
-        r: dict[str, float] = {}
+        r: dict[str, float] = dict(start or {})
         out: list[tuple[str, str, float]] = []
         for pdf in it:
             for g, a, b, o in zip(pdf["__g"], pdf["model_a"], pdf["model_b"], pdf["outcome"], strict=True):
                 if g != at:
                     out += [(at, m, x) for m, x in r.items()] if at is not None else []
-                    at, r = g, {}
+                    at, r = g, dict(start or {})
                 ra, rb = r.get(a, initial), r.get(b, initial)
                 e = 1 / (1 + math.pow(10, (rb - ra) / 400))
                 s = 1.0 if o == "win_a" else 0.0 if o == "win_b" else tie
@@ -127,9 +128,15 @@ def bootstrap(counts: DataFrame, rounds: int = 200, seed: int = 7, confidence: f
             rows = []
             for i in pdf["id"]:
                 rng = np.random.default_rng([seed, int(i)])
-                picks = np.repeat(np.arange(len(t)), rng.multinomial(int(t["n"].sum()), p))
-                rng.shuffle(picks)
-                rows += list(_fold(t.iloc[picks], K_FACTOR, INITIAL, TIE).items())
+                left = rng.multinomial(int(t["n"].sum()), p)
+                ratings: dict[str, float] = {}
+                while left.sum():  # a random order, laid out block by block
+                    take = rng.multivariate_hypergeometric(left, min(BLOCK_GAMES, int(left.sum())), method="marginals")
+                    left = left - take
+                    picks = np.repeat(np.arange(len(t)), take)
+                    rng.shuffle(picks)
+                    _fold(t.iloc[picks], ratings)
+                rows += list(ratings.items())
             yield pd.DataFrame(rows, columns=["model", "rating"])
 
     r = spark.range(rounds).repartition(max(1, rounds // 10)).mapInPandas(draw, "model string, rating double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
@@ -11,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.operators.pairwise import elo
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder; a local one only where none is set."""
@@ -98,13 +99,10 @@ def live_elo(games: DataFrame, k: float = 32.0, initial: float = 1500.0) -> Call
     root = scratch(spark)
 
     def fold(df: DataFrame, epoch: int) -> None:
-        ratings = {r["model"]: r["rating"] for r in spark.read.parquet(f"{root}/{epoch - 1}").collect()} if epoch else {}
-        for g in df.orderBy("ord", "match_id").select("model_a", "model_b", "outcome").toLocalIterator():
-            ra, rb = ratings.get(g["model_a"], initial), ratings.get(g["model_b"], initial)
-            e = 1 / (1 + math.pow(10, (rb - ra) / 400))
-            s = {"win_a": 1.0, "win_b": 0.0}.get(g["outcome"], 0.5)
-            ratings[g["model_a"]], ratings[g["model_b"]] = ra + k * (s - e), rb + k * (e - s)
-        spark.createDataFrame(sorted(ratings.items()), "model string, rating double").coalesce(1).write.mode("overwrite").parquet(f"{root}/{epoch}")
+        before = {r["model"]: r["rating"] for r in spark.read.parquet(f"{root}/{epoch - 1}").collect()} if epoch else {}  # one row per model
+        now = elo(df, k=k, initial=initial, start=before).select("model", "rating")
+        kept = spark.createDataFrame(sorted(before.items()), "model string, rating double").join(now.select("model"), "model", "left_anti")
+        now.unionByName(kept).coalesce(1).write.mode("overwrite").parquet(f"{root}/{epoch}")
         fold.epoch = epoch  # type: ignore[attr-defined]
 
     fold.ratings = lambda: spark.read.parquet(f"{root}/{fold.epoch}")  # type: ignore[attr-defined]
