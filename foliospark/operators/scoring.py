@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +44,34 @@ def merge_metrics(left: DataFrame, right: DataFrame, key: str, value: str) -> Da
     return a.join(b, key, "full").withColumn("sides", side)
 
 
+def _overlap_counts(prediction: list[str], reference: list[str]) -> list[int]:
+    """Clipped matches for n = 1..4, n-gram totals for n = 1..4, and the two lengths."""
+    matches, totals = [], []
+    for n in range(1, 5):
+        p = Counter(zip(*(prediction[i:] for i in range(n)), strict=False))
+        r = Counter(zip(*(reference[i:] for i in range(n)), strict=False))
+        matches.append(sum((p & r).values()))
+        totals.append(max(0, len(prediction) - n + 1))
+    return [*matches, *totals, len(prediction), len(reference)]
+
+
 def bleu4(pairs: DataFrame, prediction: str, reference: str) -> DataFrame:
-    """One row with the corpus BLEU-4 of lower-case word tokens: clipped n-gram matches and totals are summed over rows, no smoothing."""
-    toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    """One row with the corpus BLEU-4 of lower-case word tokens, no smoothing.
 
-    def grams(t: Column, n: int) -> Column:
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    Clipped n-gram matches and totals are counted batch by batch in linear time
+    (nested array functions would compare every n-gram with every other) and
+    only their sums are shuffled.
+    """
+    names = [*(f"m{n}" for n in range(1, 5)), *(f"t{n}" for n in range(1, 5)), "lp", "lr"]
+    toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
-    def matches(n: int) -> Column:
-        p, r = grams(F.col("p"), n), grams(F.col("r"), n)
-        return F.aggregate(F.array_distinct(p), F.lit(0), lambda a, g: a + F.least(F.size(F.filter(p, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g))))
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [_overlap_counts(list(p), list(r)) for p, r in zip(pdf["p"], pdf["r"], strict=True)]
+            yield pd.DataFrame([[sum(c) for c in zip(*rows, strict=True)]] if rows else [], columns=names)
 
-    rows = pairs.select(toks(prediction).alias("p"), toks(reference).alias("r"))
-    agg = rows.agg(
-        *(F.sum(matches(n)).alias(f"m{n}") for n in range(1, 5)),
-        *(F.sum(F.greatest(F.lit(0), F.size("p") - n + 1)).alias(f"t{n}") for n in range(1, 5)),
-        F.sum(F.size("p")).alias("lp"),
-        F.sum(F.size("r")).alias("lr"),
-    )
+    sums = pairs.select(toks(prediction).alias("p"), toks(reference).alias("r")).mapInPandas(count, ", ".join(f"{n} bigint" for n in names))
+    agg = sums.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
     ok = F.least(*(F.col(f"m{n}") for n in range(1, 5))) > 0
     mean = sum((F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in range(1, 5)), F.lit(0.0)) / 4
     penalty = F.when(F.col("lp") >= F.col("lr"), 1.0).otherwise(F.exp(1 - F.col("lr") / F.col("lp")))
