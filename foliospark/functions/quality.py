@@ -27,38 +27,46 @@ NOT_TITLE = r"(^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}|[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]
 
 def quality_columns(text: Column, pages_attempted: Column | None = None, pages_extracted: Column | None = None) -> dict[str, Column]:
     """Counts, ratios, structure flags and the confidence score of a text; one page unless counts are given."""
+    q = quality_struct(text, pages_attempted, pages_extracted)
+    return {name: q[name] for name in QUALITY_FIELDS}
+
+
+QUALITY_FIELDS = ("char_count", "word_count", "line_count", "success_rate", "has_paragraphs", "has_sentences", "avg_line_length", "whitespace_ratio", "alphabetic_ratio", "digit_ratio", "punctuation_ratio", "special_ratio", "confidence")
+
+
+def quality_struct(text: Column, pages_attempted: Column | None = None, pages_extracted: Column | None = None) -> Column:
+    """The columns of :func:`quality_columns` as one struct; every pass over the text is bound once."""
     t = F.coalesce(text, F.lit(""))
     tried = F.lit(1) if pages_attempted is None else pages_attempted
     got = (F.trim(t) != "").cast("int") if pages_extracted is None else pages_extracted
-    chars = F.length(t).cast("bigint")
-    n_words = F.size(words(t)).cast("bigint")
     lines = F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"(?U)^\s*$"))
-    n_lines = F.size(lines).cast("bigint")
-    share = lambda pattern: F.when(chars > 0, F.regexp_count(t, F.lit(pattern)) / chars).otherwise(0.0)
-    alpha, digit, space, punct = share(r"\p{L}"), share(r"\p{Nd}"), share(r"(?U)\s"), share(PUNCTUATION)
-    rate = F.when(tried > 0, got / tried).otherwise(0.0)
-    mean_line = F.when(n_lines > 0, F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / n_lines).otherwise(0.0)
-    paragraphs, sentences = F.contains(t, F.lit("\n\n")), t.rlike(r"[.!?]\s+[A-Z]")
-    flag = lambda c: c.cast("double")
-    volume = (F.least(chars / 1000, F.lit(1.0)) + F.least(n_words / 100, F.lit(1.0))) / 2
-    mix = (F.when(alpha.between(0.6, 0.9), 1.0).otherwise(alpha) + F.when(space.between(0.1, 0.3), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(space - 0.2) / 0.2))) / 2
-    line = F.when(mean_line.between(30, 100), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(mean_line - 65) / 65))
-    score = 0.3 * rate + 0.2 * volume + 0.2 * (flag(paragraphs) + flag(sentences)) / 2 + 0.2 * mix + 0.1 * line
-    return {
-        "char_count": chars,
-        "word_count": n_words,
-        "line_count": n_lines,
-        "success_rate": rate,
-        "has_paragraphs": paragraphs,
-        "has_sentences": sentences,
-        "avg_line_length": mean_line,
-        "whitespace_ratio": space,
-        "alphabetic_ratio": alpha,
-        "digit_ratio": digit,
-        "punctuation_ratio": punct,
-        "special_ratio": F.when(chars > 0, 1 - alpha - digit - space - punct).otherwise(0.0),
-        "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)),
-    }
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    passes = F.struct(
+        F.length(t).cast("bigint").alias("c"),
+        F.size(words(t)).cast("bigint").alias("w"),
+        F.aggregate(lines, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("l")), lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["l"] + F.length(x)).alias("l"))).alias("lines"),
+        count(r"\p{L}").alias("alpha"),
+        count(r"\p{Nd}").alias("digit"),
+        count(r"(?U)\s").alias("space"),
+        count(PUNCTUATION).alias("punct"),
+        F.contains(t, F.lit("\n\n")).alias("par"),
+        t.rlike(r"[.!?]\s+[A-Z]").alias("sen"),
+        F.when(tried > 0, got / tried).otherwise(0.0).alias("rate"),
+    )
+
+    def score(b: Column) -> Column:
+        share = lambda k: F.when(b["c"] > 0, b[k] / b["c"]).otherwise(0.0)
+        alpha, digit, space, punct = share("alpha"), share("digit"), share("space"), share("punct")
+        line = F.when(b["lines"]["n"] > 0, b["lines"]["l"] / b["lines"]["n"]).otherwise(0.0)
+        volume = (F.least(b["c"] / 1000, F.lit(1.0)) + F.least(b["w"] / 100, F.lit(1.0))) / 2
+        mix = (F.when(alpha.between(0.6, 0.9), 1.0).otherwise(alpha) + F.when(space.between(0.1, 0.3), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(space - 0.2) / 0.2))) / 2
+        width = F.when(line.between(30, 100), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(line - 65) / 65))
+        confidence = 0.3 * b["rate"] + 0.2 * volume + 0.2 * (b["par"].cast("double") + b["sen"].cast("double")) / 2 + 0.2 * mix + 0.1 * width
+        special = F.when(b["c"] > 0, 1 - alpha - digit - space - punct).otherwise(0.0)
+        values = (b["c"], b["w"], b["lines"]["n"], b["rate"], b["par"], b["sen"], line, space, alpha, digit, punct, special, F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)))
+        return F.struct(*(v.alias(n) for n, v in zip(QUALITY_FIELDS, values, strict=True)))
+
+    return F.transform(F.array(passes), score)[0]
 
 
 def feature_columns(text: Column) -> dict[str, Column]:

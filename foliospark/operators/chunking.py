@@ -25,10 +25,13 @@ def check_window(size: int, overlap: int) -> None:
 def word_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Array of word windows; the window that reaches the last word is the last."""
     check_window(size, overlap)
-    w = words(text)
     step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - overlap) / step) - 1).cast("int")
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut_up(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - overlap) / step) - 1).cast("int")
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(words(text)), cut_up))  # bound once: otherwise every window splits the text again
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:

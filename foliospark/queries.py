@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import citations as C
 from foliospark.functions import plugins, quality, text
 from foliospark.operators import catalog, chunking, compare, dataset, pairwise, reports, retrieval, scoring
+from foliospark.plans.scale import cut
 from foliospark.sources import writers
 from foliospark.sources.tables import table
 from foliospark.streaming import incremental as inc
@@ -84,7 +85,7 @@ def chunk_words(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH c AS ({_CHUNKS}), k AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id), u AS (SELECT md5(t) AS h, count(*) AS n FROM c GROUP BY 1), e AS (SELECT doc_id, count(*) AS r FROM c JOIN u ON u.h = md5(c.t) WHERE u.n > 1 GROUP BY doc_id)
 SELECT coalesce(source, 'unknown') AS source, count(*) AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_chunks, coalesce(sum(r), 0)::BIGINT AS n_repeated FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN e USING (doc_id) GROUP BY 1""")
 def chunk_summary(spark: SparkSession, d: str) -> DataFrame:
-    c = _doc_chunks(spark, d).select("doc_id", F.xxhash64("chunk_text").alias("h"))
+    c = cut(_doc_chunks(spark, d).select("doc_id", F.xxhash64("chunk_text").alias("h")))  # used three times
     per_hash = c.groupBy("h").agg(F.count("*").alias("n"))
     repeated = c.join(per_hash.where("n > 1"), "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("r"))
     k = c.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -146,9 +147,9 @@ SELECT doc_id, c::BIGINT AS char_count, w::BIGINT AS word_count, n::BIGINT AS li
 
 @query(_Q)
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
-    q = quality.quality_columns(F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", quality.quality_struct(F.col("text")).alias("q"))
     keep = ("char_count", "word_count", "line_count", "has_paragraphs", "has_sentences", "avg_line_length", "alphabetic_ratio", "digit_ratio", "whitespace_ratio")
-    return table(spark, d, "documents").select("doc_id", *(F.round(q[k], 6).alias(k) if "ratio" in k or "avg" in k else q[k].alias(k) for k in keep), F.round(q["confidence"], 5).alias("confidence"))
+    return rows.select("doc_id", *(F.round(f"q.{k}", 6).alias(k) if "ratio" in k or "avg" in k else F.col(f"q.{k}").alias(k) for k in keep), F.round("q.confidence", 5).alias("confidence"))
 
 
 @query()
