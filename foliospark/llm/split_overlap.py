@@ -7,15 +7,17 @@ training classes by joining the hashes.
 
 Near stage, on classes instead of records, so that copies are never compared
 with each other: two classes become candidates when they share one of the
-rarest words of the question and the signature of one sentence of the answer -
-its numbers, or a third of its words where it has none. Every candidate is
-then checked word by word: nothing but common words may differ in the question,
-and the sentences of the shorter answer must be found in the other with the
-same numbers. The candidate join has no cap.
-
-Word rarity is counted over all records; the broadcast holds only words found
-in more than 1/COMMON of them, of which there can be at most COMMON times the
-mean number of distinct words in a question.
+rarest words of the question and one key of the answer. Keys don't depend on
+where a word stands: all words of the answer; the sorted numbers of a sentence;
+and, of a sentence without numbers, so many of its rarest words that two
+sentences which the check below lets pass have one in common (prefix filter).
+Every candidate is then checked word by word: nothing but common words may
+differ in the question, and the sentences of the shorter answer must be found
+in the other with the same numbers. The candidate join has no cap.
+
+Word rarity is counted over all classes; the broadcasts hold only words found
+in more than 1/COMMON of the questions, or 1/COMMON_ANSWER of the answers, of
+which there can be at most so many times the mean number of distinct words.
 
 Defined results: null question or answer counts as empty; a pair in which the
 question is empty is no case; rows without id or with an unknown split are left
@@ -37,7 +39,10 @@ from foliospark.llm.canon import field_pairs, multiset_hash, squeeze, words_of
 from foliospark.plans.scale import cut
 
 COMMON = 1000
+COMMON_ANSWER = 30
 RARE_WORDS = 4
+#: Words written apart in one text and together in the other, which the check doesn't count as changes.
+JOINED = 2
 # What a citation mark and a sentence end look like.
 CITATION = r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]"
 SENTENCE_END = r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\n\r]+"
@@ -47,18 +52,46 @@ def _answer_text(col: Column) -> Column:
     return F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), CITATION, " ")
 
 
-def sentence_signatures(answer: Column) -> Column:
-    """For each sentence: its numbers in order, or, where it has none, each third of its words."""
-    sentences = F.filter(F.split(_answer_text(answer), SENTENCE_END), lambda s: squeeze(s) != "")
+def _tokens(text: Column) -> Column:
+    """Numbers and words in lower case, as :func:`_split_words` cuts them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{Nd}+(?:[.,]\p{Nd}+)*|[\p{L}\p{Nl}\p{No}]+"), F.lit(0))
+
+
+def _rarest(words: Column, common: Column) -> Column:
+    """Distinct words, rare ones first; words that aren't in the map ``common`` by their hash."""
+    return F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(F.coalesce(F.try_element_at(common, w), F.lit(0)).alias("df"), F.xxhash64(w).alias("h"))))
+
 
-    def signatures(s: Column) -> Column:
-        numbers = F.regexp_extract_all(F.lower(s), F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0))
-        words = F.split(words_of(s), " ")
-        third = F.ceil(F.size(words) / 3).cast("int")
-        thirds = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.concat(i.cast("string"), F.array_join(F.slice(words, i * third + 1, third), " ")))
-        return F.when(F.size(numbers) > 0, F.array(F.array_join(numbers, " "))).otherwise(thirds)
+def answer_keys(answer: Column, common: Column) -> Column:
+    """Hashes of which two answers share one if :func:`same_answer` can hold for them.
 
-    return F.array_distinct(F.transform(F.flatten(F.transform(sentences, signatures)), lambda x: F.xxhash64(x)))
+    Sentences with a number agree in all their numbers. Of the words of a sentence
+    of n without numbers, the check lets at most n / 4 of the shorter answer, hence
+    n / 3 of the longer one, or two, be missing in the other; so one more of the
+    rarest holds a shared word. Such words are needed only where these sentences are
+    half of the answer, as else a sentence with numbers must be found.
+    """
+    sentences = F.filter(F.transform(F.split(_answer_text(answer), SENTENCE_END), _tokens), lambda s: F.size(s) > 0)
+
+    def numbers(s: Column) -> Column:
+        return F.filter(s, lambda w: w.rlike(r"^\p{Nd}"))
+
+    def prefix(s: Column) -> Column:
+        most = F.greatest(F.lit(2), F.floor(F.size(s) / 3).cast("int")) + 1 + JOINED
+        return F.transform(F.slice(_rarest(s, common), F.lit(1), most), lambda x: x["h"])
+
+    def length(ss: Column) -> Column:
+        return F.aggregate(ss, F.lit(0), lambda n, s: n + F.size(s))
+
+    plain = F.filter(sentences, lambda s: F.size(numbers(s)) == 0)
+    counted = F.filter(F.transform(sentences, numbers), lambda x: F.size(x) > 0)
+    return F.array_distinct(
+        F.concat(
+            F.array(F.xxhash64(F.lit("all"), F.array_join(F.array_sort(F.flatten(sentences)), " "))),
+            F.transform(counted, lambda x: F.xxhash64(F.lit("numbers"), F.array_join(F.array_sort(x), " "))),
+            F.when(2 * length(plain) >= length(sentences), F.flatten(F.transform(plain, prefix))).otherwise(F.array().cast("array<bigint>")),
+        )
+    )
 
 
 def _edit_one(a: str, b: str) -> bool:
@@ -185,22 +218,27 @@ def classes(df: DataFrame, id_col: str, question: str, answer: str, split_col: s
     )
 
 
+def _common(reps: DataFrame, col: str, words: Column, share: int) -> DataFrame:
+    """One row: the words found in more than 1/share of the classes, of bounded number, and in how many."""
+    texts = reps.groupBy("class_id").agg(F.first(col).alias(col))
+    n = texts.count()
+    counts = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * share > n)
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct("w", "df"))).alias("common"))
+
+
 def class_links(recs: DataFrame) -> DataFrame:
     """(class_e, class_t): pairs of an evaluation and a training class that are the same or nearly so."""
     reps = cut(recs.groupBy("class_id", "side").agg(F.min_by(F.struct("q", "a"), "id").alias("r")).select("class_id", "side", "r.q", "r.a"))
     exact = reps.where("side = 'eval'").select("class_id").join(reps.where("side = 'train'").select("class_id"), "class_id")
 
     words = F.array_distinct(F.filter(F.split(words_of(F.col("q")), " "), lambda w: w != ""))
-    texts = reps.groupBy("class_id").agg(F.first("q").alias("q"))
-    n = texts.count()
-    counts = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * COMMON > n)
-    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("w", "df"))).alias("common"))  # one row, of bounded size
-    rare = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.coalesce(F.try_element_at(F.col("common"), w), F.lit(0)).alias("df"), F.xxhash64(w).alias("h")))), 1, RARE_WORDS)
     keyed = (
-        reps.withColumn("common", table.scalar())
-        .select("class_id", "side", F.explode(F.transform(rare, lambda x: x["h"])).alias("w"), sentence_signatures(F.col("a")).alias("s"))
-        .select("class_id", "side", "w", F.explode_outer("s").alias("s"))
-        .select("class_id", "side", F.xxhash64("w", F.coalesce("s", F.lit(0))).alias("key"))
+        reps.withColumn("common_q", _common(reps, "q", words, COMMON).scalar())
+        .withColumn("common_a", _common(reps, "a", F.array_distinct(_tokens(_answer_text(F.col("a")))), COMMON_ANSWER).scalar())
+        .select("class_id", "side", F.slice(_rarest(words, F.col("common_q")), 1, RARE_WORDS).alias("w"), answer_keys(F.col("a"), F.col("common_a")).alias("s"))
+        .select("class_id", "side", F.explode(F.transform("w", lambda x: x["h"])).alias("w"), "s")
+        .select("class_id", "side", "w", F.explode("s").alias("s"))
+        .select("class_id", "side", F.xxhash64("w", "s").alias("key"))
     )
     e = keyed.where("side = 'eval'").select("key", F.col("class_id").alias("class_e"))
     t = keyed.where("side = 'train'").select("key", F.col("class_id").alias("class_t"))

@@ -76,6 +76,26 @@ def test_split_overlap(spark):
     assert rows(split_overlap.found(t.where("false"))) == []
 
 
+def test_split_overlap_words_added_and_moved(spark):
+    q = "Why does Grofunet fail on long tables?"
+    plain = "The model loses track of the header cells once the table spans several printed pages"
+    numbers = "With 12 layers the margin is 3 points, but on the clean half it grows to 7 points"
+    t = spark.createDataFrame(
+        [
+            ("1", "qa", q, plain + ".", "train", ""),
+            ("2", "qa", q, plain.replace("The model", "The large model").replace("several", "many") + ".", "test", ""),
+            ("3", "qa", q, "Once the table spans several printed pages, the model loses track of the header cells.", "test", ""),
+            ("4", "qa", q, "Annotators disagree about cells that were merged by the extraction of the page.", "test", ""),
+            ("5", "qa", q, numbers + ".", "train", ""),
+            ("6", "qa", q, "On the clean half it grows to 7 points, but with 12 layers the margin is 3 points.", "validation", ""),
+            ("7", "qa", q, None, "train", ""),
+            ("8", "qa", "Why does Grofunet fail on very long tables?", "", "test", ""),
+        ],
+        QA,
+    )
+    assert rows(split_overlap.found(t)) == [("1", "2"), ("1", "3"), ("5", "6"), ("7", "8")]
+
+
 def test_word_checks():
     assert split_overlap.same_question("Why does it fall?", "Why does it flal?")
     assert not split_overlap.same_question("Is the F1 of Grofunet 3?", "Is the F1 of Grofunet 4?")
