@@ -26,7 +26,7 @@ from foliospark.plans.scale import cut, empty_like, salted_join
 # Fixed value: an arXiv number, old or new style.
 ARXIV_NUMBER = r"(\d{4}\.\d{4,9}|[a-z\-]+(?:\.[a-z]{2})?/\d{7})"
 ENTITY_SCHEMA = "entity string, component string"
-SPLIT_SCHEMA = "component string, split string"
+SPLIT_SCHEMA = "component string, split string, n_records bigint"
 #: A component with more than one record in LARGE of all is placed one by one; there are at most LARGE of them.
 LARGE = 1000
 BUCKETS = 4096
@@ -131,12 +131,15 @@ def found(*parts: DataFrame) -> DataFrame:
     return groups(records(*parts)).select(F.col("id").alias("task_id"), "group_id").groupBy("task_id").agg(F.min("group_id").alias("group_id"))
 
 
-def assign_splits(recs: DataFrame, targets: DataFrame, known: DataFrame | None = None, known_splits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def assign_splits(recs: DataFrame, targets: DataFrame, known: DataFrame | None = None, known_splits: DataFrame | None = None, known_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Assign every component to a split; returns (component table, split table).
 
     Component table: (entity, component), to be passed as ``known`` next time.
-    Split table: (component, split, n_records, state); state is kept, new or
-    quarantined (parts came from different splits; split is then null).
+    Split table: (component, split, n_records, state), to be passed as
+    ``known_splits``; state is kept, new or quarantined (parts came from
+    different splits; split is then null). ``n_records`` counts the records of
+    all batches. Records of ``recs`` whose id is in ``known_ids`` (column id), or
+    that name nothing and are a known component, were counted before.
     ``targets`` is (split_name, target_share), a handful of rows.
 
     New components larger than 1/LARGE of all records are placed one by one into
@@ -148,18 +151,24 @@ def assign_splits(recs: DataFrame, targets: DataFrame, known: DataFrame | None =
     comp = cut(components(recs, known))
     table = comp.select("entity", "component")
     g = groups(recs, table).select("id", "component")
-    sizes = g.groupBy("component").agg(F.count("*").alias("n_records"))
-    old = empty_like(spark, SPLIT_SCHEMA) if known_splits is None else known_splits.select("component", "split")
+    old = empty_like(spark, SPLIT_SCHEMA) if known_splits is None else known_splits.select("component", "split", "n_records")
+    fresh = g.groupBy("id").agg(F.min("component").alias("component"))
+    if known_ids is not None:
+        fresh = fresh.join(known_ids.select(F.col("id").cast("string").alias("id")), "id", "left_anti")
+    if known_splits is not None:
+        lone = F.col("component") == F.concat(F.lit("id:"), "id")
+        fresh = fresh.where(~lone).unionByName(fresh.where(lone).join(old.select("component"), "component", "left_anti"))
+    sizes = fresh.groupBy("component").agg(F.count("*").alias("n_fresh"))
     renamed = comp.select(F.col("previous"), F.col("component").alias("now")).distinct()
     moved = (
         old.join(renamed, old["component"] == renamed["previous"], "left")
-        .select(F.coalesce("now", old["component"]).alias("component"), "split")
+        .select(F.coalesce("now", old["component"]).alias("component"), "split", "n_records")
         .groupBy("component")
-        .agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.count_if(F.col("split").isNull()).alias("q"))
+        .agg(F.sum("n_records").alias("n_before"), F.min("split").alias("lo"), F.max("split").alias("hi"), F.count_if(F.col("split").isNull()).alias("q"))
     )
     state = cut(
         sizes.join(moved, "component", "full")
-        .withColumn("n_records", F.coalesce("n_records", F.lit(0)))
+        .withColumn("n_records", F.coalesce("n_before", F.lit(0)) + F.coalesce("n_fresh", F.lit(0)))
         .withColumn("state", F.when(F.col("lo").isNull() & F.coalesce(F.col("q") == 0, F.lit(True)), "new").when((F.col("q") > 0) | (F.col("lo") != F.col("hi")), "quarantined").otherwise("kept"))
         .withColumn("split", F.when(F.col("state") == "kept", F.col("lo")))
         .select("component", "split", "n_records", "state")
@@ -197,6 +206,18 @@ def assign_splits(recs: DataFrame, targets: DataFrame, known: DataFrame | None =
     return table, done
 
 
+def batch_splits(batches: list[DataFrame], targets: DataFrame) -> DataFrame:
+    """(id, component, split): the split of every record, where the batches arrive one after another."""
+    table = splits = seen = None
+    for recs in batches:
+        table, splits = assign_splits(recs, targets, table, splits, None if seen is None else seen.select("id"))
+        table, splits = cut(table), cut(splits)
+        seen = recs if seen is None else seen.unionByName(recs)
+    g = groups(seen, table).groupBy("id").agg(F.min("component").alias("component"))
+    lookup = splits.select("component", "split", F.col("n_records").alias("n"))
+    return salted_join(g, lookup, "component", "n", F.col("id")).select("id", "component", "split")
+
+
 def record_splits(recs: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, component, split): the split of every record, with a fresh component table."""
     table, splits = assign_splits(recs, targets)

@@ -57,6 +57,11 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.record_splits(linked_splits.records(*_p4_parts(spark, d)), table(spark, d, "split_targets"))
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Task records first, then examples, which fill what the splits lack."""
+    return linked_splits.batch_splits([linked_splits.records(x) for x in _p4_parts(spark, d)], table(spark, d, "split_targets"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return luce_ranking.found(table(spark, d, "match_results"), table(spark, d, "model_cards"))
 

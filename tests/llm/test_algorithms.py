@@ -159,6 +159,30 @@ def test_incremental_splits(spark):
     assert got["2501.99999"][1] == "new" and got["2501.99999"][0] in ("train", "test")
 
 
+def test_incremental_splits_count_earlier_batches(spark):
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split_name string, target_share double")
+    schema = "id string, paths array<string>"
+    known = spark.createDataFrame([(f"2501.{20000 + i}", f"2501.{20000 + i}") for i in range(3)], "entity string, component string")
+    splits = spark.createDataFrame([("2501.20000", "train", 60), ("2501.20001", "test", 38), ("2501.20002", "train", 1), ("id:lone", "test", 1)], "component string, split string, n_records bigint")
+    batch = [(f"b{i:03d}", [f"2501.{30000 + i}"]) for i in range(100)] + [("again", ["2501.20000"]), ("more", ["2501.20000"]), ("lone", None), ("bridge", ["2501.20000", "2501.20002"])]
+    seen = spark.createDataFrame([("again",)], "id string")
+    _, after = linked_splits.assign_splits(linked_splits.records(spark.createDataFrame(batch, schema)), targets, known, splits, seen)
+    got = {r.component: (r.split, r.n_records, r.state) for r in after.collect()}
+    assert got["2501.20000"] == ("train", 63, "kept")
+    assert got["2501.20001"] == ("test", 38, "kept") and got["id:lone"] == ("test", 1, "kept")
+    n = {r.split: r.n for r in after.groupBy("split").agg(F.sum("n_records").alias("n")).collect()}
+    assert sum(n.values()) == 202 and abs(n["test"] - 40.4) <= 1.5
+
+
+def test_batch_splits(spark):
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    one = linked_splits.records(spark.createDataFrame([(f"a{i:02d}", [f"2501.{20000 + i}"]) for i in range(20)] + [("x", None)], "id string, paths array<string>"))
+    two = linked_splits.records(spark.createDataFrame([(f"b{i:02d}", [f"2501.{20000 + i}"]) for i in range(0, 40, 2)] + [("a00", ["2501.20000"]), ("x", None)], "id string, paths array<string>"))
+    got = {r.id: (r.component, r.split) for r in linked_splits.batch_splits([one, two], targets).collect()}
+    assert len(got) == 41 and all(got[f"a{i:02d}"] == got[f"b{i:02d}"] for i in range(0, 20, 2))
+    assert abs(sum(s == "train" for _, s in got.values()) - 20.5) <= 1.5
+
+
 # --- problem 5 ---
 
 
