@@ -16,8 +16,9 @@ a line's end divides a word unless the corpus writes it with the hyphen.
 Scale: lines and words are counted with map-side combining; a source with a third
 of all chunks is one of at most HOT_SHARE hot keys and joined in salts; header
 keys of a source must occur in 1/HEADER_SHARE of its texts, which bounds their
-number whatever the source's size; the broadcast word list holds words that make
-up more than 1/COMMON of all, so at most COMMON of them.
+number whatever the source's size; the broadcast word list, of words that needn't
+be checked chunk by chunk, holds words that make up more than 1/COMMON of all, so
+at most COMMON of them, without those that are misrecognised.
 
 Defined results: null and empty texts have no noise and stay as they are; chunks
 with a null or blank source have no running headers; chunks without id are left
@@ -441,7 +442,7 @@ def _labelled(pdf: pd.DataFrame, model: LineModel) -> Iterator[tuple[object, lis
 
 
 def prepare(chunks: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, LineModel, DataFrame, set[str]]:
-    """Chunks with their source's returning lines, the fitted line model, word counts, and the common words."""
+    """Chunks with their source's returning lines, the fitted line model, word counts, and the common words that no confusion made."""
     base = chunks.where("chunk_id is not null and length(trim(text)) > 0").select("chunk_id", F.coalesce(F.trim("source_path"), F.lit("")).alias("source"), F.col("section_title").alias("section"), "text")
     heads = cut(returning_lines(base))
     with_keys = salted_join(base, heads, "source", "n", F.col("chunk_id"), "left")
@@ -449,8 +450,10 @@ def prepare(chunks: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFram
     model = fit_lines([(re.split(r"\r?\n", r["text"]), list(r["keys"] or []), r["section"]) for r in sample.select("text", "keys", "section").collect()])
     counts = cut(word_counts(base))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    common = {r["word"] for r in counts.where(F.col("n") * COMMON > F.lit(total)).select("word").collect()}  # at most COMMON words
-    return with_keys, model, counts, {w for w in common if not any(c in ODD for c in w)}
+    often = counts.where(F.col("n") * COMMON > F.lit(total)).select("word")  # at most COMMON words
+    bad = misread_words(often, counts).select("word").where(~F.col("word").rlike(ROMAN.pattern))  # numerals this frequent are list marks
+    often = often.join(bad, "word", "left_anti")
+    return with_keys, model, counts, {r["word"] for r in often.collect() if not any(c in ODD for c in r["word"])}
 
 
 def line_findings(with_keys: DataFrame, model: LineModel, common: set[str]) -> DataFrame:

@@ -110,6 +110,13 @@ def test_fold_and_undo():
     assert "model" in scan_repair.undo("modcl") and "volume" in scan_repair.undo("voliime")
 
 
+def test_frequent_misread_word(spark):
+    text = "The passage was checked with care by all in turn " * 60 + "(iii) and then witli care again."
+    df = spark.createDataFrame([(i, "p/a.pdf", None, text) for i in range(8)], "chunk_id bigint, source_path string, section_title string, text string")
+    assert sorted(map(tuple, scan_repair.found(df).collect())) == [(i, "char") for i in range(8)]
+    assert all("witli" not in r.text and "then with care again" in r.text for r in scan_repair.repaired(df).collect())
+
+
 # --- problem 8 ---
 
 D = "doc_id bigint, text string, source string, piece int"
