@@ -50,6 +50,46 @@ def test_pair_defects_long_text(spark):
     assert pair_defects.defects(df).count() == 0
 
 
+def test_pair_defects_without_length_limits():
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 10))) for _ in range(50_000))
+    assert pair_defects.is_copy(long, long.upper())  # beyond 300,000 characters
+    assert pair_defects.is_copy(Q, (Q + " ") * 4)
+    assert not pair_defects.is_copy(long, long[:4000])
+    assert pair_defects.is_empty("<" + "b" * 500 + ">") and not pair_defects.is_refusal('The reply "' + "so it is, " * 60 + 'I cannot answer" was counted.')
+
+
+def test_refusals_by_combination():
+    declines = [
+        "Unfortunately that falls outside what this assistant may discuss.",
+        "Sorry, no can do.",
+        "The error falls. It is 41.5 there. I cannot answer this question. I do not know.",
+        "This assistant is not able to comment on the paper.",
+        "Your question cannot be answered with what I was given.",
+        "No answer can be provided here.",
+        "It is impossible for me to tell.",
+        "I'm not permitted to share that.",
+        "Leider darf ich dazu nichts sagen.",
+        "Je ne suis malheureusement pas en mesure de répondre.",
+        "Lo siento, pero no puedo ayudar con eso.",
+        "Jag kan tyvärr inte svara på frågan.",
+        "Desværre kan jeg ikke svare på det.",
+    ]
+    reports = ["We could not reproduce the published pass rate of 49.9% with these settings.", "The model cannot use the table when cells are merged.", "Refusals such as 'I cannot answer' make up 4% of the output.", "No reply exceeds 200 words."]
+    assert [x for x in declines if not pair_defects.is_refusal(x)] == []
+    assert [x for x in reports if pair_defects.is_refusal(x)] == []
+
+
+def test_languages_beyond_the_sample():
+    en = ["The model reads the table from left to right and then asks for the next page of it.", GOOD] * 20
+    _, profiles = pair_defects.fit([(Q, x) for x in en])
+    assert pair_defects.is_other_language(Q, "Metoden når ett värde på 41,5 procent och ligger därmed över den andra modellen, men bara när tabellen är kort.", profiles)
+    assert pair_defects.is_other_language(Q, "Metoden når en værdi på 41,5 procent og ligger dermed over den anden model, men kun når tabellen er kort.", profiles)
+    assert pair_defects.language("The table spans pages; readers lose headers quickly.", profiles) in ("en", None)
+    assert not pair_defects.is_other_language(Q, "- Petrichor-S: 69.8% accuracy\n- Petrichor-S: 48.5% rank correlation", profiles)
+    assert pair_defects.language("«Under which setting does the model fall behind?»", profiles) == "en"
+
+
 # --- problem 3 ---
 
 WORDS = "the method reaches higher accuracy because every passage carries number labels which annotators checked twice before training began again without further changes".split()
