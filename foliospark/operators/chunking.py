@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import normalise, words
+from foliospark.plans.scale import numbered
 
 # Endings after which a full stop ends no sentence.
 ABBREVIATIONS = """
@@ -107,10 +108,8 @@ def chunk_spans(chunks: DataFrame, doc: str, section: str, order: str, n_words:
 
 
 def global_ids(chunks: DataFrame, doc: str, order: str, out: str = "chunk_no") -> DataFrame:
-    """Numbers 0, 1, ... over all chunks by document and order; only per-document counts meet in one window."""
-    counts = chunks.groupBy(doc).agg(F.count("*").alias("__c"))
-    bases = counts.withColumn("__b", F.coalesce(F.sum("__c").over(W.orderBy(doc).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    return chunks.join(bases, doc).withColumn(out, F.col("__b") + F.row_number().over(W.partitionBy(doc).orderBy(order)) - 1).drop("__b")
+    """Numbers 0, 1, ... over all chunks by document and order, from the counts of ranges."""
+    return numbered(chunks, out, doc, order).withColumn(out, F.col(out) - 1)
 
 
 def duplicate_chunks(chunks: DataFrame, min_tokens: int = 8) -> DataFrame:

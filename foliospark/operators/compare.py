@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.plans.scale import cut
+
 
 def sign_test_p(wins_a: int, wins_b: int) -> float:
     """Two-sided sign test: exact under 20 decided cases, normal with continuity correction from there on, at most 1."""
@@ -66,7 +68,7 @@ def mann_whitney_u(df: DataFrame, group: str, value: str, a: str, b: str) -> Dat
     """
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     per = rows.groupBy(value).agg(F.count("*").alias("n"), F.count_if(F.col(group) == a).alias("k"))
-    ranged = per.repartitionByRange(value).withColumn("part", F.spark_partition_id())
+    ranged = cut(per.repartitionByRange(value).withColumn("part", F.spark_partition_id()))  # both uses see the same ranges
     totals = ranged.groupBy("part").agg(F.sum("n").alias("t"))
     bases = totals.withColumn("base", F.coalesce(F.sum("t").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("t")
     inside = W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)

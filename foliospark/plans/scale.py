@@ -12,24 +12,61 @@ from pyspark.sql import types as T
 HOT_SHARE = 256
 #: A hot key is spread over at most so many salts.
 MAX_SALTS = 64
+#: A range of a running sum should hold about so many rows.
+BUCKET_ROWS = 50_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a folder only where none is set, as in tests."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of this machine only in local mode, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliospark-"))
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="foliospark-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """The same rows with their lineage written to the shared checkpoint folder.
 
-    Reliable: the files outlive the executors that wrote them.
+    Reliable: the files outlive the executors that wrote them. ``done`` are
+    earlier cuts that nothing needs any longer; their files are deleted.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(*done)
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of results of :func:`cut`; other data frames are left alone."""
+    for df in cuts:
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """Adds ``out``: 1, 2, ... in the order of columns that tell all rows apart.
+
+    Rows are range-partitioned and written once, so that both the counts and the
+    rows see the same partitions; no window sees more than one of them.
+    """
+    from pyspark.sql import Window as W
+
+    ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    bases = ranged.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    return ranged.join(F.broadcast(bases), "__p").withColumn(out, F.col("__b") + F.row_number().over(W.partitionBy("__p").orderBy(*order))).drop("__p", "__b")
 
 
 def hash_sample(df: DataFrame, rows: int, *keys: str, salt: int = 5) -> DataFrame:
@@ -45,16 +82,16 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread: Column, how: str = "inner") -> DataFrame:
-    """Join ``rows`` to ``lookup`` (one row per key) on ``key`` without a hot task.
+    """Join ``rows`` to ``lookup`` on ``key`` without a hot task.
 
-    ``lookup[count]`` holds the number of rows of each key. Keys with more than
+    ``lookup[count]`` holds the number of rows of each key, the same in all its lookup rows. Keys with more than
     1/HOT_SHARE of all rows - at most HOT_SHARE of them, so broadcasting these is
     bounded - are spread over salts by ``spread``; all others use salt 0.
     ``count`` is dropped from the result. Null keys of ``rows`` match nothing.
     """
     hot = (
-        lookup.select(key, count)
-        .withColumn("__total", lookup.agg(F.sum(count)).scalar())
+        lookup.select(key, count).distinct()
+        .withColumn("__total", lookup.select(key, count).distinct().agg(F.sum(count)).scalar())
         .where(F.col(count) * HOT_SHARE > F.col("__total"))
         .select(F.col(key).alias("__hot"), F.least(F.ceil(F.col(count) * HOT_SHARE / F.col("__total")), F.lit(MAX_SALTS)).cast("int").alias("__salts"))
     )
@@ -73,16 +110,18 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def prefix_sum(df: DataFrame, groups: list[str], position: str, size: str, out: str, buckets: int = 1024, tie: str | None = None) -> DataFrame:
+def prefix_sum(df: DataFrame, groups: list[str], position: str, size: str, out: str, buckets: int | Column = 1024, tie: str | None = None) -> DataFrame:
     """Exclusive running sum of ``size`` by ``position`` within ``groups``.
 
     ``position`` is a double in [0, 1). Each group is cut into ``buckets`` ranges
-    of position; only the bucket totals (groups x buckets rows) meet in one
-    window, the rows themselves are summed bucket by bucket.
+    of position, a number or a column that is the same within a group, such as
+    one range per BUCKET_ROWS rows; only the bucket totals meet in one window, the
+    rows themselves are summed bucket by bucket.
     """
     from pyspark.sql import Window as W
 
-    b = df.withColumn("__b", F.least(F.floor(F.col(position) * buckets), F.lit(buckets - 1)).cast("int"))
+    n = F.lit(buckets) if isinstance(buckets, int) else buckets
+    b = df.withColumn("__b", F.least(F.floor(F.col(position) * n), n - 1).cast("bigint"))
     totals = b.groupBy(*groups, "__b").agg(F.sum(size).alias("__t"))
     w = W.partitionBy(*groups).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn("__o", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")

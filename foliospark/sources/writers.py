@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.plans.scale import numbered
+
 
 def write_catalog(df: DataFrame, root: str) -> None:
     """Parquet as it is, CSV with arrays as text, JSON lines."""
@@ -32,11 +33,9 @@ def upsert_batches(old: DataFrame, new: DataFrame, batch: str) -> DataFrame:
 def prompt_batches(items: DataFrame, key: str, text: str, size: int = 5, start: int = 1) -> DataFrame:
     """(batch, n, body): items in key order, ``size`` to a batch.
 
-    Positions come from per-range counts, so no window sees all rows.
+    Positions come from the counts of ranges, so no window sees all rows.
     """
-    ranged = items.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange("k").withColumn("p", F.spark_partition_id())
-    bases = ranged.groupBy("p").agg(F.count("*").alias("c")).withColumn("b", F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    no = ranged.join(F.broadcast(bases), "p").withColumn("i", F.col("b") + F.row_number().over(W.partitionBy("p").orderBy("k")))
+    no = numbered(items.select(F.col(key).alias("k"), F.col(text).alias("t")), "i", "k")
     per = no.withColumn("batch", (F.floor((F.col("i") - 1) / size) + start).cast("bigint"))
     return per.groupBy("batch").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda s: s["t"]), "\n\n---\n\n").alias("body"))
 

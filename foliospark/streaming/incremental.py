@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators.pairwise import elo
+from foliospark.plans.scale import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else os.path.join(tempfile.mkdtemp(prefix="foliospark-"), "stream")
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
