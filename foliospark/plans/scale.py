@@ -31,14 +31,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *done: DataFrame, loop: bool = False) -> DataFrame:
     """The same rows with their lineage written to the shared checkpoint folder.
 
     Reliable: the files outlive the executors that wrote them. ``done`` are
-    earlier cuts that nothing needs any longer; their files are deleted.
+    earlier cuts that nothing needs any longer; their files are deleted. In a
+    ``loop`` the estimated size is forgotten too: estimates of joins multiply, so
+    from step to step they would grow beyond what the optimizer can handle.
     """
     ensure_checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
+    if loop:
+        spark = df.sparkSession
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().logical().rdd(), out._jdf.schema(), False), spark)
     release(*done)
     return out
 
