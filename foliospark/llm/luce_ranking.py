@@ -8,8 +8,11 @@ model. A tie is half a win for each.
 
 Comparisons are reduced to one row per ordered pair of items before anything
 leaves the executors. Up to ``dense_items`` items the chain is solved on the
-driver (that many squared doubles); beyond it, the stationary distribution is
-found by power iteration over the pair table in Spark.
+driver (that many squared doubles). Beyond it the pairs stay a table: in each step
+the rates are rebuilt and every item's stationary equation (what flows in equals
+what flows out) is solved for its own strength; steps are extrapolated from the
+last ones (Anderson) and end when no log strength moves by more than ``tol``. Both
+ways reach the same strengths.
 
 Where some item never won or never lost, the likelihood has no maximum. Every
 item therefore also plays ``prior`` of a win and a loss against one virtual
@@ -24,11 +27,15 @@ ranked by name; extra columns are ignored.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.plans.scale import cut
+from foliospark.plans.scale import HOT_SHARE, MAX_SALTS, cut, numbered, release
 
 
 def name_key(name: Column) -> Column:
@@ -74,29 +81,92 @@ def ilsr(wins: np.ndarray, tol: float = 1e-10, max_iter: int = 10000) -> np.ndar
     return s
 
 
-def _spectral_on_cluster(items: DataFrame, wins: DataFrame, prior: float, rounds: int, inner: int) -> DataFrame:
-    """(item, strength) by power iteration over the pair table; the virtual item is one more row."""
-    virtual = items.select(F.col("key").alias("item")).distinct()
-    extra = virtual.select(F.explode(F.array(F.struct(F.col("item").alias("winner"), F.lit("").alias("loser")), F.struct(F.lit("").alias("winner"), F.col("item").alias("loser")))).alias("x")).select("x.*", F.lit(prior).alias("w"))
-    pairs = cut(wins.unionByName(extra))
-    s = cut(virtual.unionByName(items.sparkSession.createDataFrame([("",)], "item string")).withColumn("s", F.lit(1.0)))
-    for _ in range(rounds):
-        rates = (
-            pairs.join(s.select(F.col("item").alias("winner"), F.col("s").alias("sw")), "winner")
-            .join(s.select(F.col("item").alias("loser"), F.col("s").alias("sl")), "loser")
-            .select("winner", "loser", (F.col("w") / (F.col("sw") + F.col("sl"))).alias("r"))
+def _salts(n: Column, total: Column) -> Column:
+    return F.least(F.ceil(n * HOT_SHARE / total), F.lit(MAX_SALTS)).cast("int")
+
+
+def _adjacency(wins: DataFrame) -> DataFrame:
+    """(i, j, won, lost): both sides of every pair."""
+    sides = wins.select(F.explode(F.array(F.struct(F.col("winner").alias("i"), F.col("loser").alias("j"), F.col("w").alias("won"), F.lit(0.0).alias("lost")), F.struct(F.col("loser").alias("i"), F.col("winner").alias("j"), F.lit(0.0).alias("won"), F.col("w").alias("lost")))).alias("x")).select("x.*")
+    return sides.groupBy("i", "j").agg(F.sum("won").alias("won"), F.sum("lost").alias("lost"))
+
+
+def _history(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each strength's step is (logarithms), and the last k changes of the strengths and of their steps."""
+    f = (pdf["g"] - pdf["x"]).to_numpy()
+    dx, df = np.zeros((len(pdf), k)), np.zeros((len(pdf), k))
+    if k:
+        dx[:, 0], df[:, 0] = pdf["x"] - pdf["x0"], f - pdf["f0"].to_numpy()
+        if k > 1:
+            dx[:, 1:] = np.array([v[: k - 1] for v in pdf["dx"]])
+            df[:, 1:] = np.array([v[: k - 1] for v in pdf["df"]])
+    return f, dx, df
+
+
+def _moments(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Extremes of the steps, and products of their changes with each other and with the steps."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                f, _, df = _history(pdf, k)
+                yield pd.DataFrame({"low": [f.min()], "high": [f.max()], "gram": [(df.T @ df).ravel()], "rhs": [df.T @ f]})
+
+    return run
+
+
+def _advance(gamma: np.ndarray, memory: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The extrapolated strengths and their history."""
+    k = len(gamma)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            f, dx, df = _history(pdf, k)
+            yield pd.DataFrame({"item": pdf["item"], "salts": pdf["salts"], "x": pdf["x"] + f - (dx + df) @ gamma, "dx": list(dx), "df": list(df), "f0": f, "x0": pdf["x"]})
+
+    return run
+
+
+def _spectral_on_cluster(items: DataFrame, wins: DataFrame, prior: float, tol: float, max_steps: int, memory: int = 4) -> DataFrame:
+    """(item, strength): strengths of mean logarithm 0, with the pairs as a table."""
+    names = items.select(F.col("key").alias("item")).distinct()
+    virtual = names.select(F.explode(F.array(F.struct(F.col("item").alias("winner"), F.lit("").alias("loser")), F.struct(F.lit("").alias("winner"), F.col("item").alias("loser")))).alias("x")).select("x.*", F.lit(prior).alias("w"))
+    adj = cut(_adjacency(wins.unionByName(virtual)))
+    degree = adj.groupBy("i").agg(F.count("*").alias("n"))
+    salts = degree.select(F.col("i").alias("item"), _salts(F.col("n"), adj.agg(F.count("*")).scalar()).alias("salts"))
+    salts = cut(salts)
+    own = adj.join(salts.select(F.col("item").alias("i"), F.col("salts").alias("a")), "i").join(salts.select(F.col("item").alias("j"), F.col("salts").alias("b")), "j")
+    salted = cut(own.select("i", "j", "won", "lost", F.pmod(F.xxhash64("j"), F.col("a")).cast("int").alias("si"), F.pmod(F.xxhash64("i"), F.col("b")).cast("int").alias("sj")), adj)
+    schema = "item string, salts int, x double, dx array<double>, df array<double>, f0 double, x0 double"
+    state = cut(salts.select("item", "salts", F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("dx"), F.array().cast("array<double>").alias("df"), F.lit(None).cast("double").alias("f0"), F.lit(None).cast("double").alias("x0")))
+    for step in range(max_steps):
+        spread = state.select("item", F.exp("x").alias("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        flows = (
+            salted.join(spread.select(F.col("item").alias("j"), F.col("salt").alias("sj"), F.col("s").alias("s_j")), ["j", "sj"])
+            .join(spread.select(F.col("item").alias("i"), F.col("salt").alias("si"), F.col("s").alias("s_i")), ["i", "si"])
+            .groupBy(F.col("i").alias("item"))
+            .agg(F.log(F.sum(F.col("won") * F.col("s_j") / (F.col("s_i") + F.col("s_j"))) / F.sum(F.col("lost") / (F.col("s_i") + F.col("s_j")))).alias("g"))
         )
-        rates = cut(rates)
-        out = cut(rates.groupBy(F.col("loser").alias("item")).agg(F.sum("r").alias("o")))
-        top = out.agg(F.max("o")).first()[0]
-        for _ in range(inner):  # uniformised chain
-            flow = rates.join(s.select(F.col("item").alias("loser"), "s"), "loser").groupBy(F.col("winner").alias("item")).agg(F.sum(F.col("r") * F.col("s") / top).alias("gain"))
-            s = cut(s.join(out, "item", "left").join(flow, "item", "left").select("item", (F.col("s") * (1 - F.coalesce("o", F.lit(0.0)) / top) + F.coalesce("gain", F.lit(0.0))).alias("s")))
-    return s.where("item <> ''").select("item", F.col("s").alias("strength"))
+        new = cut(state.join(flows, "item"), loop=True)
+        k = min(step, memory)
+        parts = new.mapInPandas(_moments(k), "low double, high double, gram array<double>, rhs array<double>").collect()  # a few numbers per partition
+        move = max(p["high"] for p in parts) - min(p["low"] for p in parts)
+        gamma = np.zeros(k)
+        if k and move >= tol:
+            gram = np.sum([p["gram"] for p in parts], axis=0).reshape(k, k)
+            gamma = np.linalg.lstsq(gram + 1e-14 * np.trace(gram) * np.eye(k), np.sum([p["rhs"] for p in parts], axis=0), rcond=None)[0]
+        state = cut(new.mapInPandas(_advance(gamma, memory), schema), new, state, loop=True)
+        if move < tol:
+            break
+    else:
+        warnings.warn(f"strengths still move by {move:.2g} after {max_steps} steps", RuntimeWarning, stacklevel=2)
+    release(salted, salts)
+    mean = state.where("item <> ''").agg(F.avg("x")).first()[0] or 0.0
+    return state.where("item <> ''").select("item", F.exp(F.col("x") - F.lit(mean)).alias("strength"))
 
 
-def rank(matches: DataFrame, items: DataFrame, item_col: str = "model_name", id_col: str = "match_id", winner: str = "winner", a: str = "model_a", b: str = "model_b", prior: float = 1e-3, dense_items: int = 2000, rounds: int = 20, inner: int = 50) -> DataFrame:
-    """(item_col, strength, games, model_rank): every item of ``items``, rank 1 the strongest."""
+def rank(matches: DataFrame, items: DataFrame, item_col: str = "model_name", id_col: str = "match_id", winner: str = "winner", a: str = "model_a", b: str = "model_b", prior: float = 1e-3, dense_items: int = 2000, tol: float = 1e-9, max_steps: int = 1000) -> DataFrame:
+    """(item_col, strength, games, model_rank): every item of ``items``, rank 1 the strongest; strengths have mean logarithm 0."""
     spark = matches.sparkSession
     names = items.where(F.col(item_col).isNotNull()).groupBy(name_key(F.col(item_col)).alias("key")).agg(F.min(item_col).alias(item_col))
     wins = pair_wins(decided(matches, id_col, winner, a, b))
@@ -107,20 +177,18 @@ def rank(matches: DataFrame, items: DataFrame, item_col: str = "model_name", id_
         at = {k: i for i, k in enumerate(keys)}
         m = np.zeros((n + 1, n + 1))
         m[:n, n] = m[n, :n] = prior
-        for r in known.collect():  # at most dense_items squared rows
-            m[at[r["winner"]], at[r["loser"]]] += r["w"]
+        pairs = known.toPandas()  # at most dense_items squared rows
+        np.add.at(m, (pairs["winner"].map(at).to_numpy(dtype=int), pairs["loser"].map(at).to_numpy(dtype=int)), pairs["w"].to_numpy(dtype=float))
         s = ilsr(m)[:n]
         s = s / np.exp(np.log(s).mean()) if n else s
         games = m[:n, :n].sum(0) + m[:n, :n].sum(1)
         solved = spark.createDataFrame([(k, float(x), float(g)) for k, x, g in zip(keys, s, games, strict=True)], "key string, strength double, games double")
     else:
+        known = cut(known)
         played = known.select(F.explode(F.array("winner", "loser")).alias("key"), "w").groupBy("key").agg(F.sum("w").alias("games"))
-        solved = _spectral_on_cluster(names, known, prior, rounds, inner).withColumnRenamed("item", "key").join(played, "key", "left").select("key", "strength", F.coalesce("games", F.lit(0.0)).alias("games"))
-    from pyspark.sql import Window as W
-
-    ranked = names.join(solved, "key").withColumn("strength", F.round("strength", 9))
-    order = W.orderBy(F.desc("strength"), item_col)  # one row per item
-    return ranked.select(item_col, "strength", "games", F.row_number().over(order).alias("model_rank"))
+        solved = _spectral_on_cluster(names, known, prior, tol, max_steps).withColumnRenamed("item", "key").join(played, "key", "left").select("key", "strength", F.coalesce("games", F.lit(0.0)).alias("games"))
+    ranked = names.join(solved, "key").withColumn("strength", F.round("strength", 9)).withColumn("__down", -F.col("strength"))
+    return numbered(ranked, "model_rank", "__down", item_col).select(item_col, "strength", "games", F.col("model_rank").cast("int").alias("model_rank"))
 
 
 def found(matches: DataFrame, items: DataFrame) -> DataFrame:

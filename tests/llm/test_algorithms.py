@@ -213,11 +213,19 @@ def test_ranking_cases(spark):
 
 
 def test_ranking_on_cluster_agrees(spark):
-    cards = spark.createDataFrame([(f"m{i}",) for i in range(4)], "model_name string")
-    games = spark.createDataFrame([(n, "A" if (n * 7) % (3 + i) else "B", f"m{i}", f"m{j}", "") for n, (i, j) in enumerate(list(itertools.combinations(range(4), 2)) * 6)], M)
-    a = {r.model_name: r.model_rank for r in luce_ranking.rank(games, cards).collect()}
-    b = {r.model_name: r.model_rank for r in luce_ranking.rank(games, cards, dense_items=0, rounds=3, inner=12).collect()}
-    assert a == b
+    """1,000 items, one of them in a third of all games: the same ranks and log strengths as the exact solution."""
+    n, rng = 1000, np.random.default_rng(0)
+    strong = np.exp(rng.normal(size=n))
+    i = np.where(rng.random(12000) < 1 / 3, 0, rng.integers(n, size=12000))
+    j = rng.integers(n, size=12000)
+    a_wins = rng.random(12000) < strong[i] / (strong[i] + strong[j])
+    games = spark.createDataFrame([(k, "A" if w else "B", f"m{x:04d}", f"m{y:04d}", "") for k, (w, x, y) in enumerate(zip(a_wins.tolist(), i.tolist(), j.tolist(), strict=True))], M)
+    cards = spark.createDataFrame([(f"m{k:04d}",) for k in range(n)], "model_name string")
+    one = {r.model_name: r for r in luce_ranking.rank(games, cards).collect()}
+    two = {r.model_name: r for r in luce_ranking.rank(games, cards, dense_items=0).collect()}
+    assert max(abs(np.log(one[m].strength) - np.log(two[m].strength)) for m in one if one[m].strength > 1e-3) < 1e-6
+    assert {m: r.model_rank for m, r in one.items()} == {m: r.model_rank for m, r in two.items()}
+    assert {m: r.games for m, r in one.items()} == {m: r.games for m, r in two.items()}
 
 
 # --- problem 2 ---
