@@ -10,8 +10,9 @@ barely tilt. Class shares are estimated along the way.
 Scale: votes are reduced to one row per (item, annotator, label) and gathered
 per item once - an item holds at most annotators x classes entries however many
 rows it has. Given sigma, tau and the posterior of an item depend on its own
-votes only, so an iteration is one pass that keeps no state per item and returns
-sums per annotator; sigma (annotators x classes squared) is the only shared
+votes only and are solved to the end within the pass, so an iteration is one pass
+that keeps no state per item and returns sums per annotator that its task met; steps
+in sigma are extrapolated from the last ones (Anderson), until none moves; sigma (annotators x classes squared) is the only shared
 state. Up to ``max_annotators`` it is broadcast; beyond that it stays a table that
 is joined with the votes in every iteration, and nothing per annotator reaches
 the driver.
@@ -24,10 +25,13 @@ are left out; rows delivered twice count once; extra columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,23 +53,32 @@ def gather(df: DataFrame, item: str, annotator: str, label: str, failed: Column,
     return once.groupBy("item").agg(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull() & F.col("k").isNotNull(), F.struct("a", "k")))).alias("votes"))
 
 
-def _flat(pdf: pd.DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(batch: pa.RecordBatch, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Item number, annotator number and label of every vote of a batch."""
-    j, a, k = [], [], []
-    for n, votes in enumerate(pdf["votes"]):
-        for v in votes:
-            j.append(n)
-            a.append(index[v["a"]])
-            k.append(v["k"])
-    return np.array(j, dtype=np.int64), np.array(a, dtype=np.int64), np.array(k, dtype=np.int64)
+    votes = batch.column("votes")
+    j = np.repeat(np.arange(len(votes)), pc.fill_null(pc.list_value_length(votes), 0).to_numpy(zero_copy_only=False))
+    flat = votes.flatten()
+    a = pc.index_in(flat.field("a"), value_set=names).to_numpy(zero_copy_only=False)
+    return j, a.astype(np.int64), flat.field("k").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _solve_items(n: int, j: np.ndarray, a: np.ndarray, k: np.ndarray, sigma: np.ndarray, share: np.ndarray, beta: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors (n x C) and each vote's label distribution per true class (votes x C x C), given sigma."""
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` (any shape behind the first axis) added up by ``index``."""
+    flat = values.reshape(len(index), -1)
+    return np.stack([np.bincount(index, weights=flat[:, c], minlength=n) for c in range(flat.shape[1])], 1).reshape(n, *values.shape[1:])
+
+
+def _solve_items(n: int, j: np.ndarray, a: np.ndarray, k: np.ndarray, sigma: np.ndarray, share: np.ndarray, beta: float, rounds: int, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors (n x C) and each vote's label distribution per true class (votes x C x C), given sigma.
+
+    Tilts of the items start at zero and ascend, in turn with the posteriors,
+    until none moves by more than ``tol``: both are functions of sigma, so nothing
+    is kept between iterations.
+    """
     c = len(share)
     tau = np.zeros((n, c, c))
-    counts = np.zeros((n, c))
-    np.add.at(counts, (j, k), 1.0)
+    counts = _sums(j, np.eye(c)[k], n)
+    total = counts.sum(1)[:, None, None]
     post = np.tile(share, (n, 1))
     p = np.zeros((len(j), c, c))
     rows = np.arange(len(j))
@@ -74,16 +87,15 @@ def _solve_items(n: int, j: np.ndarray, a: np.ndarray, k: np.ndarray, sigma: np.
         z -= z.max(2, keepdims=True)
         p = np.exp(z)
         p /= p.sum(2, keepdims=True)
-        ll = np.zeros((n, c))
-        np.add.at(ll, j, np.log(np.clip(p[rows, :, k], 1e-12, None)))
-        ll += np.log(share)
+        ll = _sums(j, np.log(np.clip(p[rows, :, k], 1e-12, None)), n) + np.log(share)
         ll -= ll.max(1, keepdims=True)
         post = np.exp(ll)
         post /= post.sum(1, keepdims=True)
-        expect = np.zeros((n, c, c))
-        np.add.at(expect, j, p)
-        grad = post[:, :, None] * (counts[:, None, :] - expect) - beta * tau
-        tau += grad / (post[:, :, None] * counts.sum(1)[:, None, None] * 0.5 + beta)
+        grad = post[:, :, None] * (counts[:, None, :] - _sums(j, p, n)) - beta * tau
+        step = grad / (post[:, :, None] * total * 0.5 + beta)
+        tau += step
+        if np.abs(step).max(initial=0.0) < tol:
+            break
     return post, p
 
 
@@ -94,10 +106,10 @@ def _start(c: int) -> np.ndarray:
     return s - s.mean(1, keepdims=True)
 
 
-def _batch_sums(pdf: pd.DataFrame, j: np.ndarray, k: np.ndarray, own: np.ndarray, tilts: np.ndarray, share: np.ndarray, beta: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _batch_sums(n: int, j: np.ndarray, k: np.ndarray, own: np.ndarray, tilts: np.ndarray, share: np.ndarray, beta: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per vote: posterior weight on the label given, and on each label expected (votes x C x C each); summed posteriors of the items."""
     c = len(share)
-    post, p = _solve_items(len(pdf), j, own, k, tilts, share, beta, rounds)
+    post, p = _solve_items(n, j, own, k, tilts, share, beta, rounds)
     w = post[j]
     return w[:, :, None] * np.eye(c)[k][:, None, :], w[:, :, None] * p, post[np.unique(j)].sum(0)
 
@@ -108,8 +120,32 @@ def _advance(sigma: np.ndarray, given: np.ndarray, expected: np.ndarray, alpha:
     return sigma + np.clip(step, -1.0, 1.0), float(np.abs(step).max()) if step.size else 0.0
 
 
-def fit(items: DataFrame, classes: tuple[str, ...], gamma: float = 0.25, iterations: int = 40, rounds: int = 3, tol: float = 5e-3, max_annotators: int = 100_000) -> dict:
-    """Tilts, class shares and settings from a gathered, materialised table of items."""
+class _Extrapolation:
+    """Anderson extrapolation of a fixed-point iteration from its last ``memory`` steps."""
+
+    def __init__(self, memory: int = 5) -> None:
+        self.memory = memory
+        self.points: list[np.ndarray] = []
+        self.steps: list[np.ndarray] = []
+
+    def next(self, x: np.ndarray, step: np.ndarray) -> np.ndarray:
+        self.points = [*self.points, x][-self.memory - 1 :]
+        self.steps = [*self.steps, step][-self.memory - 1 :]
+        if len(self.steps) < 2:
+            return x + step
+        dx, df = np.diff(self.points, axis=0).T, np.diff(self.steps, axis=0).T
+        gram = df.T @ df
+        gamma = np.linalg.lstsq(gram + 1e-12 * np.trace(gram) * np.eye(len(gram)), df.T @ step, rcond=None)[0]
+        return x + step - (dx + df) @ gamma
+
+
+def fit(items: DataFrame, classes: tuple[str, ...], gamma: float = 0.25, iterations: int = 200, rounds: int = 50, tol: float = 1e-3, max_annotators: int = 100_000) -> dict:
+    """Tilts, class shares and settings from a gathered, materialised table of items.
+
+    Iterates until no tilt or share moves by more than ``tol``; ``moved`` and
+    ``iterations`` of the result tell how it ended, and a warning is given where
+    ``iterations`` did not suffice.
+    """
     c = len(classes)
     per = items.select(F.explode("votes").alias("v")).groupBy(F.col("v.a").alias("a")).agg(F.count("*").alias("n"))
     size = per.agg(F.count("*").alias("j"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
@@ -120,40 +156,49 @@ def fit(items: DataFrame, classes: tuple[str, ...], gamma: float = 0.25, iterati
     if size["j"] > max_annotators:
         return _fit_joined(items, per, model, alpha, iterations, tol)
     names = [r["a"] for r in per.select("a").orderBy("a").collect()]  # at most max_annotators
-    index = {x: i for i, x in enumerate(names)}
     sigma, share = np.tile(_start(c), (len(names), 1, 1)), model["share"]
     cols = [f"s{i}" for i in range(2 * c * c)]
     schema = "a int, " + ", ".join(f"{x} double" for x in cols)
-
-    for _ in range(iterations if names else 0):
-        state = items.sparkSession.sparkContext.broadcast((sigma, share, index))
-
-        def sums(it: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
-            sg, sh, ix = state.value
-            given, expected, total = np.zeros((len(ix), c, c)), np.zeros((len(ix), c, c)), np.zeros(c)
-            for pdf in it:
-                j, a, k = _flat(pdf, ix)
+    ahead, moved, step = _Extrapolation(), 0.0, 0
+    for step in range(1, (iterations if names else 0) + 1):
+        state = items.sparkSession.sparkContext.broadcast((sigma, share, names))
+
+        def sums(it: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            sg, sh, known = state.value
+            values = pa.array(known, pa.string())
+            both, seen, total = np.zeros((len(known), 2 * c * c)), np.zeros(len(known), dtype=bool), np.zeros(c)
+            for batch in it:
+                j, a, k = _flat(batch, values)
                 if len(j):
-                    g, e, t = _batch_sums(pdf, j, k, a, sg, sh, beta, rounds)
-                    np.add.at(given, a, g)
-                    np.add.at(expected, a, e)
+                    g, e, t = _batch_sums(batch.num_rows, j, k, a, sg, sh, beta, rounds)
+                    both += _sums(a, np.concatenate([g.reshape(len(j), -1), e.reshape(len(j), -1)], 1), len(known))
+                    seen[a] = True
                     total += t
-            out = pd.DataFrame(np.hstack([given.reshape(len(ix), -1), expected.reshape(len(ix), -1)]), columns=cols)
-            out.insert(0, "a", np.arange(len(ix), dtype=np.int32))
-            extra = pd.DataFrame([[-1, *total, *[0.0] * (len(cols) - c)]], columns=["a", *cols])
-            yield pd.concat([out, extra.astype({"a": np.int32})])
+            at = np.flatnonzero(seen)  # only annotators that this task met
+            out = np.vstack([both[at], np.concatenate([total, np.zeros(len(cols) - c)])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), *(pa.array(out[:, i]) for i in range(len(cols)))], names=["a", *cols])
 
-        got = items.select("votes").mapInPandas(sums, schema).groupBy("a").agg(*(F.sum(x).alias(x) for x in cols)).toPandas().sort_values("a")
+        got = items.select("votes").mapInArrow(sums, schema).groupBy("a").agg(*(F.sum(x).alias(x) for x in cols)).collect()  # one row per annotator
         state.destroy()
-        body = got.iloc[1:, 1:].to_numpy(dtype=float)
-        sigma, moved = _advance(sigma, body[:, : c * c].reshape(-1, c, c), body[:, c * c :].reshape(-1, c, c), alpha)
-        total = got.iloc[0, 1 : 1 + c].to_numpy(dtype=float)
+        got = np.array(sorted(map(tuple, got)), dtype=float)
+        body = got[1:, 1:]
+        forward, _ = _advance(sigma, body[:, : c * c].reshape(-1, c, c), body[:, c * c :].reshape(-1, c, c), alpha)
+        total = got[0, 1 : 1 + c]
         new_share = (total + 1.0) / (total.sum() + c)
-        moved = max(moved, np.abs(new_share - share).max())
-        share = new_share
+        x = np.concatenate([sigma.ravel(), np.log(share)])
+        move = np.concatenate([forward.ravel(), np.log(new_share)]) - x
+        moved = float(np.abs(move).max())
+        x = ahead.next(x, move)
+        sigma, share = x[:-c].reshape(sigma.shape), np.exp(x[-c:]) / np.exp(x[-c:]).sum()
         if moved < tol:
             break
-    return model | {"names": names, "index": index, "sigma": sigma, "share": share}
+    _report(moved, tol, step)
+    return model | {"names": names, "sigma": sigma, "share": share, "moved": moved, "iterations": step}
+
+
+def _report(moved: float, tol: float, step: int) -> None:
+    if moved >= tol:
+        warnings.warn(f"tilts still move by {moved:.2g} after {step} iterations", RuntimeWarning, stacklevel=3)
 
 
 def _joined(items: DataFrame, table: DataFrame) -> DataFrame:
@@ -178,20 +223,21 @@ def _fit_joined(items: DataFrame, per: DataFrame, model: dict, alpha: float, ite
     table, share = cut(per.select("a", "n", start.alias("s"))), model["share"]
     cols = [f"s{i}" for i in range(2 * c * c)]
     schema = "a string, " + ", ".join(f"{x} double" for x in cols)
-    for _ in range(iterations):
+    moved, step = 0.0, 0
+    for step in range(1, iterations + 1):
         now = share
 
         def sums(it: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             for pdf in it:
                 j, a, k, tilts = _flat_joined(pdf, c)
                 if len(j):
-                    g, e, t = _batch_sums(pdf, j, k, np.arange(len(j)), tilts, now, beta, rounds)
+                    g, e, t = _batch_sums(len(pdf), j, k, np.arange(len(j)), tilts, now, beta, rounds)
                     out = pd.DataFrame(np.hstack([g.reshape(len(j), -1), e.reshape(len(j), -1)]), columns=cols)
                     out.insert(0, "a", a)
                     yield out.groupby("a", as_index=False).sum()
                     yield pd.DataFrame([[None, *t, *[0.0] * (len(cols) - c)]], columns=["a", *cols])
 
-        got = cut(_joined(items, table).mapInPandas(sums, schema).groupBy("a").agg(*(F.sum(x).alias(x) for x in cols)))
+        got = cut(_joined(items, table).mapInPandas(sums, schema).groupBy("a").agg(*(F.sum(x).alias(x) for x in cols)), loop=True)
 
         def ascend(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
@@ -201,13 +247,14 @@ def _fit_joined(items: DataFrame, per: DataFrame, model: dict, alpha: float, ite
                 yield pd.DataFrame({"a": pdf["a"], "n": pdf["n"], "s": list(new.reshape(-1, c * c)), "moved": np.abs(new - old).max((1, 2))})
 
         total = np.array([got.where("a is null").first()[x] for x in cols[:c]], dtype=float)
-        stepped = cut(table.join(got.where("a is not null"), "a").mapInPandas(ascend, "a string, n bigint, s array<double>, moved double"))
+        stepped = cut(table.join(got.where("a is not null"), "a").mapInPandas(ascend, "a string, n bigint, s array<double>, moved double"), got, table, loop=True)
         new_share = (total + 1.0) / (total.sum() + c)
         moved = max(stepped.agg(F.max("moved")).first()[0] or 0.0, np.abs(new_share - share).max())
-        table, share = stepped.select("a", "n", "s"), new_share
+        table, share = stepped, new_share
         if moved < tol:
             break
-    return model | {"table": table, "share": share}
+    _report(moved, tol, step)
+    return model | {"table": table.select("a", "n", "s"), "share": share, "moved": moved, "iterations": step}
 
 
 def consensus(items: DataFrame, model: dict) -> DataFrame:
@@ -220,38 +267,36 @@ def consensus(items: DataFrame, model: dict) -> DataFrame:
     if joined:
         rows = items.select("item").join(_joined(items, table), "item", "left")
 
-    def label(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = state.value
-        for pdf in it:
+        values = None if joined else pa.array(m["names"], pa.string())
+        for batch in it:
+            n_rows = batch.num_rows
             if joined:
-                pdf = pdf.assign(votes=[v if v is not None else [] for v in pdf["votes"]])
+                pdf = batch.to_pandas()
+                pdf["votes"] = [v if v is not None else [] for v in pdf["votes"]]
                 j, names, k, tilts = _flat_joined(pdf, c)
                 a = np.arange(len(names))
             else:
-                j, a, k = _flat(pdf, m["index"])
+                j, a, k = _flat(batch, values)
                 tilts = m["sigma"]
-            post = np.tile(m["share"], (len(pdf), 1))
-            counts = np.zeros((len(pdf), c))
+            post = np.tile(m["share"], (n_rows, 1))
+            counts = np.zeros((n_rows, c))
             if len(j):
-                got, _ = _solve_items(len(pdf), j, a, k, tilts, m["share"], m["beta"], m["rounds"])
+                got, _ = _solve_items(n_rows, j, a, k, tilts, m["share"], m["beta"], m["rounds"])
                 has = np.unique(j)
                 post[has] = got[has]
-                np.add.at(counts, (j, k), 1.0)
+                counts = _sums(j, np.eye(c)[k], n_rows)
             n = counts.sum(1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 agree = (counts * (counts - 1)).sum(1) / (n * (n - 1))
             best = post.argmax(1)
-            yield pd.DataFrame(
-                {
-                    "item": pdf["item"].to_numpy(),
-                    "label": np.array(m["classes"], dtype=object)[best],
-                    "confidence": post[np.arange(len(pdf)), best],
-                    "agreement": pd.Series(agree).astype(object).where(n > 1, None),
-                    "n_votes": n.astype(np.int64),
-                }
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item"), pa.array(np.array(m["classes"], dtype=object)[best], pa.string()), pa.array(post[np.arange(n_rows), best]), pa.array(agree, mask=n < 2), pa.array(n.astype(np.int64))],
+                names=["item", "label", "confidence", "agreement", "n_votes"],
             )
 
-    return rows.mapInPandas(label, "item string, label string, confidence double, agreement double, n_votes bigint")
+    return rows.mapInArrow(label, "item string, label string, confidence double, agreement double, n_votes bigint")
 
 
 def reliability(items: DataFrame, model: dict) -> DataFrame:
@@ -279,7 +324,9 @@ def reliability(items: DataFrame, model: dict) -> DataFrame:
 
 def judgments_model(judgments: DataFrame) -> tuple[DataFrame, dict]:
     failed = F.coalesce(F.trim("error") != "", F.lit(False)) | F.col("verdict").isNull()
-    items = cut(gather(judgments, "pair_id", "judge_name", "verdict", failed, VERDICTS))
+    spark = judgments.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    items = cut(gather(judgments, "pair_id", "judge_name", "verdict", failed, VERDICTS).repartition(tasks))  # every iteration is bound by CPU, not by bytes
     return items, fit(items, VERDICTS)
 
 

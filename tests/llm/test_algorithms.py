@@ -267,11 +267,12 @@ def test_consensus_with_tilts_as_table(spark):
         data += [(f"p{i}", f"j{j}", y if rng.random() < 0.4 + 0.12 * j else rng.choice(label_consensus.VERDICTS), None, "") for j in range(5)]
     data.append(("none", "j0", None, "boom", ""))
     items = label_consensus.gather(spark.createDataFrame(data, J), "pair_id", "judge_name", "verdict", F.col("verdict").isNull(), label_consensus.VERDICTS).cache()
-    a = label_consensus.fit(items, label_consensus.VERDICTS, iterations=3)
-    b = label_consensus.fit(items, label_consensus.VERDICTS, iterations=3, max_annotators=1)
-    assert np.allclose(a["share"], b["share"]) and "table" in b
-    one = {r.item: (r.label, round(r.confidence, 6)) for r in label_consensus.consensus(items, a).collect()}
-    two = {r.item: (r.label, round(r.confidence, 6)) for r in label_consensus.consensus(items, b).collect()}
+    a = label_consensus.fit(items, label_consensus.VERDICTS)
+    b = label_consensus.fit(items, label_consensus.VERDICTS, max_annotators=1)
+    assert a["moved"] < 1e-3 and b["moved"] < 1e-3 and a["iterations"] <= b["iterations"]
+    assert np.allclose(a["share"], b["share"], atol=0.01) and "table" in b
+    one = {r.item: (r.label, round(r.confidence, 1)) for r in label_consensus.consensus(items, a).collect()}
+    two = {r.item: (r.label, round(r.confidence, 1)) for r in label_consensus.consensus(items, b).collect()}
     assert one == two and len(one) == 61
-    ra = {r.annotator: round(r.reliability, 6) for r in label_consensus.reliability(items, a).collect()}
-    assert ra == {r.annotator: round(r.reliability, 6) for r in label_consensus.reliability(items, b).collect()}
+    ra, rb = ({r.annotator: r.reliability for r in label_consensus.reliability(items, m).collect()} for m in (a, b))
+    assert ra.keys() == rb.keys() and all(abs(ra[j] - rb[j]) < 0.01 for j in ra)
