@@ -115,6 +115,21 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Inner join of ``rows`` to ``lookup``, whose keys may repeat on both sides, without a hot task.
+
+    Keys of more than 1/HOT_SHARE of ``rows`` (at most HOT_SHARE of them, so
+    broadcasting these is bounded) are spread over salts by the column ``spread``.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = rows.agg(F.count("*")).scalar()
+    hot = counts.where(F.col("__n") * HOT_SHARE > total).withColumn("__salts", F.least(F.ceil(F.col("__n") * HOT_SHARE / total), F.lit(MAX_SALTS)).cast("int")).drop("__n")
+    hot = F.broadcast(hot)
+    left = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1)).cast("long")).cast("int")).drop("__salts")
+    right = lookup.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
 def prefix_sum(df: DataFrame, groups: list[str], position: str, size: str, out: str, buckets: int | Column = 1024, tie: str | None = None) -> DataFrame:
     """Exclusive running sum of ``size`` by ``position`` within ``groups``.
 
