@@ -78,6 +78,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.report(table(spark, d, "offline_examples"), linked_splits.arxiv_numbers(F.col("rag.sources")))
 
 
+def p6_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The hash join alone: evaluation records whose canonical form stands in training, and their pairs, per split."""
+    return split_overlap.exact_counts(table(spark, d, "offline_examples"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.copies(table(spark, d, "offline_examples"))
 
@@ -151,9 +156,21 @@ WITH src AS (
 """
 
 
+_SQUEEZE = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+_P6 = (
+    _P7.replace("SELECT DISTINCT task_id,", "SELECT DISTINCT task_id, lower(trim(split)) AS split, " + _SQUEEZE.format(r"regexp_replace(coalesce(expected_response, ''), '\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]', ' ', 'g')") + " AS a,")
+    .replace("SELECT task_id, tt, string_split", "SELECT task_id, split, a, tt, string_split")
+    .replace("SELECT task_id, tt, CASE", "SELECT task_id, split, a, tt, CASE")
+    + """, member AS (SELECT DISTINCT task_id, split, k, a FROM keyed WHERE split IN ('train', 'validation', 'test')
+), n AS (SELECT k, a, count(*) FILTER (WHERE split = 'train') AS t FROM member GROUP BY k, a HAVING t > 0)
+SELECT split, count(*) AS n_records, sum(t)::BIGINT AS n_overlaps FROM member JOIN n USING (k, a) WHERE split <> 'train' GROUP BY split"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4,
+        "p6_exact": _P6,
         "p7_found": _P7 + "SELECT g.kept AS kept_task_id, x.task_id AS copy_task_id FROM keyed x JOIN grp g USING (tt, k) WHERE x.task_id <> g.kept",
         "p7_collapsed": _P7 + "SELECT g.kept AS kept_task_id, count(DISTINCT x.task_id) AS n_records FROM keyed x JOIN grp g USING (tt, k) GROUP BY g.kept",
     }

@@ -6,14 +6,18 @@ records with the same hash pair form a class, and evaluation classes meet
 training classes by joining the hashes.
 
 Near stage, on classes instead of records, so that copies are never compared
-with each other: two classes become candidates when they share one of the
-rarest words of the question and one key of the answer. Keys don't depend on
-where a word stands: all words of the answer; the sorted numbers of a sentence;
-and, of a sentence without numbers, so many of its rarest words that two
-sentences which the check below lets pass have one in common (prefix filter).
-Every candidate is then checked word by word: nothing but common words may
-differ in the question, and the sentences of the shorter answer must be found
-in the other with the same numbers. The candidate join has no cap.
+with each other: two classes become candidates when they share a key of the
+question and one of the answer. Keys don't depend on where a word stands, and are
+so many that two texts which the check below lets pass have one in common (prefix
+filter): the rarest words of the question, each with all digits of it; all words of
+the answer; the sorted numbers of a sentence; the rarest words of a sentence
+without numbers. Every candidate is then checked word by word: nothing but common
+words may differ in the question, and the sentences of the shorter answer must be
+found in the other with the same numbers. The candidate join has no cap.
+
+The result is links between classes and the membership of records; pairs of
+records are listed only where they are asked for, and counted as products. Keys
+and classes of very many rows are spread over salts.
 
 Word rarity is counted over all classes; the broadcasts hold only words found
 in more than 1/COMMON of the questions, or 1/COMMON_ANSWER of the answers, of
@@ -32,15 +36,17 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.canon import field_pairs, multiset_hash, squeeze, words_of
-from foliospark.plans.scale import cut
+from foliospark.llm.canon import field_pairs, multiset_hash, squeeze
+from foliospark.plans.scale import cut, skew_join
 
 COMMON = 1000
 COMMON_ANSWER = 30
-RARE_WORDS = 4
+#: Share of the words of a question, or of a sentence, that may be changed.
+SHARE = 0.25
 #: Words written apart in one text and together in the other, which the check doesn't count as changes.
 JOINED = 2
 # What a citation mark and a sentence end look like.
@@ -57,13 +63,28 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{Nd}+(?:[.,]\p{Nd}+)*|[\p{L}\p{Nl}\p{No}]+"), F.lit(0))
 
 
-def _rarest(words: Column, common: Column) -> Column:
-    """Distinct words, rare ones first; words that aren't in the map ``common`` by their hash."""
-    return F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(F.coalesce(F.try_element_at(common, w), F.lit(0)).alias("df"), F.xxhash64(w).alias("h"))))
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-def answer_keys(answer: Column, common: Column) -> Column:
-    """Hashes of which two answers share one if :func:`same_answer` can hold for them.
+def _rarest(words: list[str], common: dict[str, int], most: int) -> list[str]:
+    return sorted(set(words), key=lambda w: (common.get(w, 0), _hash(w)))[:most]
+
+
+def question_keys(question: str, common: dict[str, int]) -> list[str]:
+    """Strings of which two questions share one if :func:`same_question` can hold for them.
+
+    It lets at most SHARE of the words of either, or two, be changed, and no digit,
+    but for two that trade places; so one more of the rarest words is shared, and
+    the digits are the same in any order.
+    """
+    words = _split_words(question)
+    digits = "".join(sorted(c for c in question if c.isdigit()))
+    return [f"{digits} {w}" for w in _rarest(words, common, max(2, int(SHARE * len(words))) + 1 + JOINED)]
+
+
+def answer_keys(answer: str, common: dict[str, int]) -> set[str]:
+    """Strings of which two answers share one if :func:`same_answer` can hold for them.
 
     Sentences with a number agree in all their numbers. Of the words of a sentence
     of n without numbers, the check lets at most n / 4 of the shorter answer, hence
@@ -71,27 +92,19 @@ def answer_keys(answer: Column, common: Column) -> Column:
     rarest holds a shared word. Such words are needed only where these sentences are
     half of the answer, as else a sentence with numbers must be found.
     """
-    sentences = F.filter(F.transform(F.split(_answer_text(answer), SENTENCE_END), _tokens), lambda s: F.size(s) > 0)
-
-    def numbers(s: Column) -> Column:
-        return F.filter(s, lambda w: w.rlike(r"^\p{Nd}"))
-
-    def prefix(s: Column) -> Column:
-        most = F.greatest(F.lit(2), F.floor(F.size(s) / 3).cast("int")) + 1 + JOINED
-        return F.transform(F.slice(_rarest(s, common), F.lit(1), most), lambda x: x["h"])
-
-    def length(ss: Column) -> Column:
-        return F.aggregate(ss, F.lit(0), lambda n, s: n + F.size(s))
-
-    plain = F.filter(sentences, lambda s: F.size(numbers(s)) == 0)
-    counted = F.filter(F.transform(sentences, numbers), lambda x: F.size(x) > 0)
-    return F.array_distinct(
-        F.concat(
-            F.array(F.xxhash64(F.lit("all"), F.array_join(F.array_sort(F.flatten(sentences)), " "))),
-            F.transform(counted, lambda x: F.xxhash64(F.lit("numbers"), F.array_join(F.array_sort(x), " "))),
-            F.when(2 * length(plain) >= length(sentences), F.flatten(F.transform(plain, prefix))).otherwise(F.array().cast("array<bigint>")),
-        )
-    )
+    sentences = _sentences(answer)
+    out = {"all " + " ".join(sorted(w for s in sentences for w in s))}
+    plain = []
+    for s in sentences:
+        numbers = sorted(w for w in s if w[0].isdigit())
+        if numbers:
+            out.add("numbers " + " ".join(numbers))
+        else:
+            plain.append(s)
+    if 2 * sum(map(len, plain)) >= sum(map(len, sentences)):
+        for s in plain:
+            out.update(_rarest(s, common, max(2, len(s) // 3) + 1 + JOINED))
+    return out
 
 
 def _edit_one(a: str, b: str) -> bool:
@@ -153,7 +166,11 @@ def _split_words(text: str) -> list[str]:
     return re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text.lower())
 
 
-def same_question(qa: str, qb: str, share: float = 0.25) -> bool:
+def _sentences(text: str) -> list[list[str]]:
+    return [w for s in re.split(SENTENCE_END, re.sub(CITATION, " ", text)) if (w := _split_words(s))]
+
+
+def same_question(qa: str, qb: str, share: float = SHARE) -> bool:
     """Whether two questions differ by a few common words only."""
     a, b = _split_words(qa), _split_words(qb)
     if sorted(a) == sorted(b):
@@ -162,16 +179,13 @@ def same_question(qa: str, qb: str, share: float = 0.25) -> bool:
     return not bad and changed <= max(2, share * min(len(a), len(b)))
 
 
-def same_answer(aa: str, ab: str, share: float = 0.25) -> bool:
+def same_answer(aa: str, ab: str, share: float = SHARE) -> bool:
     """Whether the sentences of the shorter answer stand in the other one, but for a few common words.
 
     Sentences may be moved, and up to half of the longer answer may be additions.
     """
 
-    def sentences(t: str) -> list[list[str]]:
-        return [w for s in re.split(SENTENCE_END, re.sub(CITATION, " ", t)) if (w := _split_words(s))]
-
-    a, b = sentences(aa), sentences(ab)
+    a, b = _sentences(aa), _sentences(ab)
     if sorted(x for s in a for x in s) == sorted(x for s in b for x in s):
         return True
     if not a or not b:
@@ -197,68 +211,75 @@ def same_answer(aa: str, ab: str, share: float = 0.25) -> bool:
 def _verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         keep = [same_question(r.q_e, r.q_t) and same_answer(r.a_e, r.a_t) for r in pdf.itertuples()]
-        yield pdf.loc[keep, ["class_e", "class_t"]]
+        yield pdf.loc[keep, ["rep_e", "rep_t"]]
 
 
 def classes(df: DataFrame, id_col: str, question: str, answer: str, split_col: str) -> DataFrame:
-    """(id, side, split, class_id): class_id is the hash pair of canonical question and answer; side is train or eval."""
+    """(id, side, split, c1, c2, q, a): c1 and c2 are 128 bits of hash of canonical question and answer; side is train or eval."""
     split = F.lower(F.trim(F.col(split_col)))
+    hashes = [multiset_hash(field_pairs(F.col(question), "q")), multiset_hash(F.array(F.concat(F.lit("a="), squeeze(_answer_text(F.col(answer))))))]
     return (
         df.where(F.col(id_col).isNotNull() & split.isin("train", "validation", "test") & (squeeze(F.col(question)) != ""))
-        .select(
-            F.col(id_col).alias("id"),
-            split.alias("split"),
-            F.when(split == "train", "train").otherwise("eval").alias("side"),
-            multiset_hash(field_pairs(F.col(question), "q")).alias("q_hash"),
-            multiset_hash(F.array(F.concat(F.lit("a="), squeeze(_answer_text(F.col(answer)))))).alias("a_hash"),
-            F.coalesce(F.col(question), F.lit("")).alias("q"),
-            F.coalesce(F.col(answer), F.lit("")).alias("a"),
-        )
-        .withColumn("class_id", F.concat_ws("/", "q_hash", "a_hash"))
+        .select(F.col(id_col).alias("id"), split.alias("split"), F.when(split == "train", "train").otherwise("eval").alias("side"), *(h.alias(n) for h, n in zip(hashes, ("qh", "ah"), strict=True)), F.coalesce(F.col(question), F.lit("")).alias("q"), F.coalesce(F.col(answer), F.lit("")).alias("a"))
+        .select("id", "side", "split", F.xxhash64("qh", "ah").alias("c1"), F.xxhash64("ah", "qh", F.lit(1)).alias("c2"), "q", "a")
     )
 
 
-def _common(reps: DataFrame, col: str, words: Column, share: int) -> DataFrame:
-    """One row: the words found in more than 1/share of the classes, of bounded number, and in how many."""
-    texts = reps.groupBy("class_id").agg(F.first(col).alias(col))
-    n = texts.count()
-    counts = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * share > n)
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct("w", "df"))).alias("common"))
-
-
-def class_links(recs: DataFrame) -> DataFrame:
-    """(class_e, class_t): pairs of an evaluation and a training class that are the same or nearly so."""
-    reps = cut(recs.groupBy("class_id", "side").agg(F.min_by(F.struct("q", "a"), "id").alias("r")).select("class_id", "side", "r.q", "r.a"))
-    exact = reps.where("side = 'eval'").select("class_id").join(reps.where("side = 'train'").select("class_id"), "class_id")
-
-    words = F.array_distinct(F.filter(F.split(words_of(F.col("q")), " "), lambda w: w != ""))
-    keyed = (
-        reps.withColumn("common_q", _common(reps, "q", words, COMMON).scalar())
-        .withColumn("common_a", _common(reps, "a", F.array_distinct(_tokens(_answer_text(F.col("a")))), COMMON_ANSWER).scalar())
-        .select("class_id", "side", F.slice(_rarest(words, F.col("common_q")), 1, RARE_WORDS).alias("w"), answer_keys(F.col("a"), F.col("common_a")).alias("s"))
-        .select("class_id", "side", F.explode(F.transform("w", lambda x: x["h"])).alias("w"), "s")
-        .select("class_id", "side", "w", F.explode("s").alias("s"))
-        .select("class_id", "side", F.xxhash64("w", "s").alias("key"))
-    )
-    e = keyed.where("side = 'eval'").select("key", F.col("class_id").alias("class_e"))
-    t = keyed.where("side = 'train'").select("key", F.col("class_id").alias("class_t"))
-    pairs = e.join(t, "key").where("class_e <> class_t").select("class_e", "class_t").distinct()
-    text_e = reps.where("side = 'eval'").select(F.col("class_id").alias("class_e"), F.col("q").alias("q_e"), F.col("a").alias("a_e"))
-    text_t = reps.where("side = 'train'").select(F.col("class_id").alias("class_t"), F.col("q").alias("q_t"), F.col("a").alias("a_t"))
-    near = pairs.join(text_e, "class_e").join(text_t, "class_t").mapInPandas(_verify, "class_e string, class_t string")
-    return exact.select(F.col("class_id").alias("class_e"), F.col("class_id").alias("class_t")).unionByName(near)
+def _common(reps: DataFrame, words: Column, share: int) -> dict[str, int]:
+    """Words found in more than 1/share of the texts, of bounded number, and in how many."""
+    counts = reps.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") * share > reps.agg(F.count("*")).scalar())
+    return {r["w"]: r["df"] for r in counts.collect()}
+
+
+def representatives(recs: DataFrame) -> DataFrame:
+    """(rep, c1, c2, side, q, a): one text per class and side, numbered."""
+    reps = recs.groupBy("c1", "c2", "side").agg(F.min_by(F.struct("q", "a"), "id").alias("r"))
+    return cut(reps.select(F.monotonically_increasing_id().alias("rep"), "c1", "c2", "side", "r.q", "r.a"))
+
+
+def class_links(reps: DataFrame) -> DataFrame:
+    """(e1, e2, t1, t2): evaluation classes and training classes that are the same or nearly so."""
+    spark = reps.sparkSession
+    both = reps.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n = 2")
+    exact = both.select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("c1").alias("t1"), F.col("c2").alias("t2"))
+    state = spark.sparkContext.broadcast((_common(reps, _tokens(F.col("q")), COMMON), _common(reps, _tokens(_answer_text(F.col("a"))), COMMON_ANSWER)))
+
+    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common_q, common_a = state.value
+        for pdf in it:
+            rows = []
+            for rep, train, q, a in zip(pdf["rep"], pdf["train"], pdf["q"], pdf["a"], strict=True):
+                of_answer = answer_keys(a, common_a)
+                rows += [(rep, train, _hash(w, s)) for w in question_keys(q, common_q) for s in of_answer]
+            yield pd.DataFrame(rows, columns=["rep", "train", "key"])
+
+    keyed = cut(reps.select("rep", (F.col("side") == "train").alias("train"), "q", "a").mapInPandas(keys, "rep bigint, train boolean, key bigint"))
+    e = keyed.where("not train").select("key", F.col("rep").alias("rep_e"))
+    t = keyed.where("train").select("key", F.col("rep").alias("rep_t"))
+    pairs = skew_join(t, e, ["key"], "rep_t").select("rep_e", "rep_t").distinct()
+    text_e = reps.where("side = 'eval'").select(F.col("rep").alias("rep_e"), F.col("q").alias("q_e"), F.col("a").alias("a_e"), F.col("c1").alias("x1"), F.col("c2").alias("x2"))
+    text_t = reps.where("side = 'train'").select(F.col("rep").alias("rep_t"), F.col("q").alias("q_t"), F.col("a").alias("a_t"), F.col("c1").alias("y1"), F.col("c2").alias("y2"))
+    checked = pairs.join(text_e, "rep_e").join(text_t, "rep_t").where("x1 <> y1 or x2 <> y2")
+    near = cut(checked.select("rep_e", "rep_t", "q_e", "q_t", "a_e", "a_t").mapInPandas(_verify, "rep_e bigint, rep_t bigint"))
+    hashes = reps.select("rep", "c1", "c2")
+    named = near.join(hashes.toDF("rep_e", "e1", "e2"), "rep_e").join(hashes.toDF("rep_t", "t1", "t2"), "rep_t")
+    return exact.unionByName(named.select("e1", "e2", "t1", "t2"))
+
+
+def linked_classes(df: DataFrame, id_col: str = "task_id", question: str = "instruction", answer: str = "expected_response", split_col: str = "split") -> tuple[DataFrame, DataFrame]:
+    """(links, members): pairs of classes (e1, e2, t1, t2), and every record (id, side, split, c1, c2) of the classes."""
+    recs = classes(df, id_col, question, answer, split_col)
+    links = cut(class_links(representatives(recs)))
+    return links, recs.select("id", "side", "split", "c1", "c2").distinct()
 
 
 def overlaps(df: DataFrame, id_col: str = "task_id", question: str = "instruction", answer: str = "expected_response", split_col: str = "split") -> DataFrame:
     """(eval_id, train_id, eval_split): all pairs of an evaluation and a training record that are the same or nearly so."""
-    recs = classes(df, id_col, question, answer, split_col)
-    links = cut(class_links(recs))
-    ids = recs.select("id", "side", "split", "class_id").distinct()
-    ev = ids.where("side = 'eval'").select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("class_id").alias("class_e"))
-    tr = ids.where("side = 'train'").select(F.col("id").alias("train_id"), F.col("class_id").alias("class_t"))
-    sizes = tr.groupBy("class_t").agg(F.count("*").alias("n"))
-    some = links.join(sizes, "class_t").join(ev, "class_e")
-    return tr.join(some.select("class_t", "eval_id", "eval_split"), "class_t").select("eval_id", "train_id", "eval_split").distinct()
+    links, members = linked_classes(df, id_col, question, answer, split_col)
+    ev = members.where("side = 'eval'").select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("c1").alias("e1"), F.col("c2").alias("e2"))
+    tr = members.where("side = 'train'").select(F.col("id").alias("train_id"), F.col("c1").alias("t1"), F.col("c2").alias("t2"))
+    some = skew_join(ev, links, ["e1", "e2"], "eval_id")
+    return skew_join(tr, some, ["t1", "t2"], "train_id").select("eval_id", "train_id", "eval_split")
 
 
 def found(df: DataFrame) -> DataFrame:
@@ -267,15 +288,28 @@ def found(df: DataFrame) -> DataFrame:
     return o.select(F.least("eval_id", "train_id").alias("task_id_a"), F.greatest("eval_id", "train_id").alias("task_id_b")).distinct()
 
 
+def exact_counts(df: DataFrame, id_col: str = "task_id", question: str = "instruction", answer: str = "expected_response", split_col: str = "split") -> DataFrame:
+    """(split, n_records, n_overlaps): the exact stage alone, counted by class."""
+    members = classes(df, id_col, question, answer, split_col).select("id", "side", "split", "c1", "c2").distinct()
+    n = members.groupBy("c1", "c2").agg(F.count_if(F.col("side") == "train").alias("n_train")).where("n_train > 0")
+    per = members.where("side = 'eval'").groupBy("c1", "c2", "split").agg(F.count("*").alias("n"))
+    return per.join(n, ["c1", "c2"]).groupBy("split").agg(F.sum("n").alias("n_records"), F.sum(F.col("n") * F.col("n_train")).alias("n_overlaps"))
+
+
 def report(df: DataFrame, sources: Column, id_col: str = "task_id") -> DataFrame:
     """(split, source, n_records, n_overlaps): evaluation records found in training and their pairs, per split and source.
 
-    ``sources`` is an array column of ``df``; a record with several sources counts for each, one with none for 'none'.
+    Pairs are counted as products of class sizes and never listed. ``sources`` is
+    an array column of ``df``; a record with several sources counts for each, one
+    with none for 'none'.
     """
-    o = overlaps(df, id_col).groupBy("eval_id", "eval_split").agg(F.count("*").alias("k"))
-    src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("eval_id"), F.explode_outer(F.array_distinct(sources)).alias("source")).distinct()
+    links, members = linked_classes(df, id_col)
+    sizes = members.where("side = 'train'").groupBy(F.col("c1").alias("t1"), F.col("c2").alias("t2")).agg(F.count("*").alias("n"))
+    k = links.distinct().join(sizes, ["t1", "t2"]).groupBy(F.col("e1").alias("c1"), F.col("e2").alias("c2")).agg(F.sum("n").alias("k"))
+    ev = skew_join(members.where("side = 'eval'"), k, ["c1", "c2"], "id").select("id", "split", "k")
+    src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode_outer(F.array_distinct(sources)).alias("source")).distinct()
     return (
-        o.join(src, "eval_id", "left")
-        .groupBy(F.col("eval_split").alias("split"), F.coalesce("source", F.lit("none")).alias("source"))
+        ev.join(src, "id", "left")
+        .groupBy("split", F.coalesce("source", F.lit("none")).alias("source"))
         .agg(F.count("*").alias("n_records"), F.sum("k").alias("n_overlaps"))
     )

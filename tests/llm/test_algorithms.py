@@ -96,6 +96,24 @@ def test_split_overlap_words_added_and_moved(spark):
     assert rows(split_overlap.found(t)) == [("1", "2"), ("1", "3"), ("5", "6"), ("7", "8")]
 
 
+def test_split_overlap_counts_groups_of_copies_as_products(spark):
+    n = 400
+    t = spark.range(2 * n).select(F.col("id").cast("string").alias("task_id"), F.lit("qa").alias("task_type"), F.lit("Why does Grofunet fail on long tables?").alias("instruction"), F.when(F.col("id") < n, "It loses the header cells.").otherwise("IT LOSES THE HEADER CELLS").alias("expected_response"), F.when(F.col("id") < n, "train").otherwise("test").alias("split"))
+    assert rows(split_overlap.report(t, F.array(F.lit("p")))) == [("test", "p", n, n * n)]
+    links, members = split_overlap.linked_classes(t)
+    assert links.count() == 1 and members.count() == 2 * n
+    assert rows(split_overlap.exact_counts(t)) == [("test", n, n * n)]
+    assert split_overlap.found(t).count() == n * n
+
+
+def test_split_overlap_rare_words_all_changed(spark):
+    """No key may hang on the rarest words alone: here all of those carry typos."""
+    q = "Does Grofunet keep its lead over the plain ranker on DeltaSet once the context window is cut to half of its length"
+    a = "The lead shrinks to 3 points."
+    t = spark.createDataFrame([("1", "qa", q, a, "train", ""), ("2", "qa", q.replace("shrinks", "shrinsk").replace("ranker", "rankre").replace("context", "cotnext").replace("window", "widnow"), a, "test", "")] + [(f"x{i}", "qa", "Does it keep its lead over the plain one on a set once the text is cut to half of its length?", f"{i}", "train", "") for i in range(30)], QA)
+    assert rows(split_overlap.found(t)) == [("1", "2")]
+
+
 def test_word_checks():
     assert split_overlap.same_question("Why does it fall?", "Why does it flal?")
     assert not split_overlap.same_question("Is the F1 of Grofunet 3?", "Is the F1 of Grofunet 4?")
