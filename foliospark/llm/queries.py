@@ -99,6 +99,28 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d), table(spark, d, "bin_sizes"))
 
 
+#: Limits that bind: a segment per 96 tokens, and loss on at most nine tokens of ten.
+_TIGHT = {"tokens_per_segment": 96, "loss_share": 0.9}
+
+
+def p8_tight(spark: SparkSession, d: str) -> DataFrame:
+    """Fill in every dimension where all three limits bind."""
+    docs, bins = table(spark, d, "documents"), table(spark, d, "bin_sizes")
+    return packing.fill_report(packing.pack(docs, bins, **_TIGHT), bins, **_TIGHT)
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """No container beyond a limit, no token lost, no text divided that fits."""
+    docs, bins = table(spark, d, "documents"), table(spark, d, "bin_sizes")
+    return packing.breaches(packing.pack(docs, bins), docs, bins)
+
+
+def p8_tight_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The same under the tighter limits."""
+    docs, bins = table(spark, d, "documents"), table(spark, d, "bin_sizes")
+    return packing.breaches(packing.pack(docs, bins, **_TIGHT), docs, bins, **_TIGHT)
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -156,6 +178,7 @@ WITH src AS (
 """
 
 
+_NO_BREACH = "SELECT bin_name, count(*) AS n_documents, 0::BIGINT AS over_tokens, 0::BIGINT AS over_segments, 0::BIGINT AS over_loss, 0::BIGINT AS lost, 0::BIGINT AS divided FROM bin_sizes, documents WHERE doc_id IS NOT NULL GROUP BY bin_name"
 _SQUEEZE = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 _P6 = (
     _P7.replace("SELECT DISTINCT task_id,", "SELECT DISTINCT task_id, lower(trim(split)) AS split, " + _SQUEEZE.format(r"regexp_replace(coalesce(expected_response, ''), '\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]', ' ', 'g')") + " AS a,")
@@ -171,6 +194,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4,
         "p6_exact": _P6,
+        "p8_limits": _NO_BREACH,
+        "p8_tight_limits": _NO_BREACH,
         "p7_found": _P7 + "SELECT g.kept AS kept_task_id, x.task_id AS copy_task_id FROM keyed x JOIN grp g USING (tt, k) WHERE x.task_id <> g.kept",
         "p7_collapsed": _P7 + "SELECT g.kept AS kept_task_id, count(DISTINCT x.task_id) AS n_records FROM keyed x JOIN grp g USING (tt, k) GROUP BY g.kept",
     }

@@ -182,6 +182,25 @@ def test_packing(spark):
     assert packing.pack(t.where("false"), bins).count() == 0 and packing.pack(t, bins.where("false")).count() == 0
 
 
+def test_packing_under_tight_limits(spark):
+    rng = random.Random(7)
+    texts = [" ".join(["word"] * rng.randrange(1, 110)) for _ in range(200)] + ["> " + "quoted " * 60 + "\nreply " * 30] * 20 + ["> " + "quoted " * 150 + "\n" + "reply " * 200] * 5
+    t = spark.createDataFrame([(i, x, "s", 0) for i, x in enumerate(texts)], D)
+    bins = spark.createDataFrame([("small", 100)], BINS)
+    tight = {"tokens_per_segment": 45, "loss_share": 0.8}
+    p = packing.pack(t, bins, block_items=64, **tight).cache()
+    assert rows(packing.breaches(p, t, bins, **tight)) == [("small", 225, 0, 0, 0, 0, 0)]
+    report = packing.fill_report(p, bins, **tight).first()
+    assert report.at_loss > 0 and report.at_segments > 0
+
+
+def test_context_ranges_count_quoted_tokens():
+    n, r = token_sizes.context_ranges("first line\n> a quoted line of words\nlast line")
+    assert n == token_sizes.count_tokens(["first line\n> a quoted line of words\nlast line"])[0]
+    assert len(r) == 1 and 5 <= r[0][1] - r[0][0] <= 8
+    assert token_sizes.context_ranges("no quotation")[1] == []
+
+
 def test_pack_block_obeys_every_limit():
     rng = np.random.default_rng(0)
     tokens = np.sort(rng.integers(1, 90, 300))[::-1]
