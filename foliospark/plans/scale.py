@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 HOT_SHARE = 256
 #: A hot key is spread over at most so many salts.
 MAX_SALTS = 64
+#: A written table of so many bytes may be broadcast.
+BROADCAST_BYTES = 8 << 20
 #: A range of a running sum should hold about so many rows.
 BUCKET_ROWS = 50_000
 
@@ -37,21 +39,33 @@ def cut(df: DataFrame, *done: DataFrame, loop: bool = False) -> DataFrame:
     Reliable: the files outlive the executors that wrote them. ``done`` are
     earlier cuts that nothing needs any longer; their files are deleted. In a
     ``loop`` the estimated size is forgotten too: estimates of joins multiply, so
-    from step to step they would grow beyond what the optimizer can handle.
+    from step to step they would grow beyond what the optimizer can handle. There
+    the size of the files decides whether joins may broadcast the rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
     if loop:
         spark = df.sparkSession
-        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().logical().rdd(), out._jdf.schema(), False), spark)
+        rdd = out._jdf.queryExecution().logical().rdd()
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, out._jdf.schema(), False), spark)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength() <= BROADCAST_BYTES:
+            out = out.hint("broadcast")
     release(*done)
     return out
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` is a cut of a loop that was found small enough to broadcast."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() in ("UnresolvedHint", "ResolvedHint")
+
+
 def release(*cuts: DataFrame) -> None:
     """Delete the files of results of :func:`cut`; other data frames are left alone."""
     for df in cuts:
-        plan = df._jdf.queryExecution().logical()
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() in ("UnresolvedHint", "ResolvedHint"):
+            plan = plan.child()
         if plan.getClass().getSimpleName() != "LogicalRDD":
             continue
         file = plan.rdd().getCheckpointFile()
@@ -115,8 +129,8 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, spread
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    """Inner join of ``rows`` to ``lookup``, whose keys may repeat on both sides, without a hot task.
+def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` to ``lookup``, whose keys may repeat on both sides, without a hot task.
 
     Keys of more than 1/HOT_SHARE of ``rows`` (at most HOT_SHARE of them, so
     broadcasting these is bounded) are spread over salts by the column ``spread``.
@@ -127,7 +141,7 @@ def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str)
     hot = F.broadcast(hot)
     left = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1)).cast("long")).cast("int")).drop("__salts")
     right = lookup.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def prefix_sum(df: DataFrame, groups: list[str], position: str, size: str, out: str, buckets: int | Column = 1024, tie: str | None = None) -> DataFrame:
