@@ -62,6 +62,15 @@ def p4_batches(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.batch_splits([linked_splits.records(x) for x in _p4_parts(spark, d)], table(spark, d, "split_targets"))
 
 
+def p4_states(spark: SparkSession, d: str) -> DataFrame:
+    """Components after the second of two persisted batches, those that had a split before and new ones."""
+    return linked_splits.batch_states([linked_splits.records(x) for x in _p4_parts(spark, d)], table(spark, d, "split_targets"))
+
+
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    return linked_splits.balance(linked_splits.records(*_p4_parts(spark, d)), table(spark, d, "split_targets"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return luce_ranking.found(table(spark, d, "match_results"), table(spark, d, "model_cards"))
 
@@ -193,6 +202,8 @@ SELECT split, count(*) AS n_records, sum(t)::BIGINT AS n_overlaps FROM member JO
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4,
+        "p4_balance": "SELECT split_name AS split, FALSE AS off_target, 0::BIGINT AS torn FROM split_targets",
+        "p4_states": f"WITH g AS ({_P4}), s AS (SELECT group_id, count(*) AS n, bool_or(task_id IN (SELECT task_id FROM task_records WHERE task_id IS NOT NULL)) AS old FROM g GROUP BY 1) SELECT CASE WHEN old THEN 'old' ELSE 'new' END AS state, count(*) AS n_components, sum(n)::BIGINT AS n_records FROM s GROUP BY 1",
         "p6_exact": _P6,
         "p8_limits": _NO_BREACH,
         "p8_tight_limits": _NO_BREACH,

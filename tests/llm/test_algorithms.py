@@ -201,6 +201,20 @@ def test_batch_splits(spark):
     assert abs(sum(s == "train" for _, s in got.values()) - 20.5) <= 1.5
 
 
+def test_record_that_names_a_paper_later_keeps_its_split(spark, tmp_path):
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    schema = "id string, paths array<string>"
+    path = str(tmp_path / "state")
+    assert linked_splits.load(spark, path) is None
+    linked_splits.advance(linked_splits.records(spark.createDataFrame([(f"a{i}", None) for i in range(8)], schema)), targets, path)
+    before = {r.component: r.split for r in linked_splits.load(spark, path)[1].collect()}
+    linked_splits.advance(linked_splits.records(spark.createDataFrame([(f"a{i}", [f"2501.{20000 + i}"]) for i in range(4)] + [("b", ["2501.20000"])], schema)), targets, path)
+    _, splits, ids = linked_splits.load(spark, path)
+    after = {r.component: (r.split, r.n_records, r.state) for r in splits.collect()}
+    assert after["2501.20000"] == (before["id:a0"], 2, "kept") and after["2501.20001"] == (before["id:a1"], 1, "kept")
+    assert after["id:a7"] == (before["id:a7"], 1, "kept") and ids.count() == 9
+
+
 # --- problem 5 ---
 
 
