@@ -37,7 +37,7 @@ def assign(df: DataFrame, id_col: str, text_col: str, plain_cols: list[str]) ->
 
     A fingerprint that a third of all rows share is joined back in salts.
     """
-    recs = fingerprints(df, id_col, text_col, plain_cols)
+    recs = cut(fingerprints(df, id_col, text_col, plain_cols))  # canonicalised once
     groups = recs.groupBy("fp").agg(F.min("id").alias("kept"), F.min_by("fields", "id").alias("kept_fields"), F.count("*").alias("n"))
     joined = (
         salted_join(recs, groups, "fp", "n", F.col("id"))

@@ -10,7 +10,7 @@ The mixture is as large as the scarcest source allows under its cap on repeats,
 unless ``total_tokens`` asks for less. A source is used in whole passes and one
 partial pass over its documents in hash order, ended where its demand is met.
 
-Scale: running token sums are built from bucket totals (sources x buckets rows),
+Scale: running token sums are built from totals of ranges of BUCKET_ROWS documents,
 so no source, however large, meets in one task; the final order is a range sort.
 
 Defined results: spellings of a source are merged; documents of unknown or null
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.token_sizes import DEFAULT_TOKENIZER, sizes
-from foliospark.plans.scale import cut, prefix_sum
+from foliospark.plans.scale import BUCKET_ROWS, cut, prefix_sum
 
 STEEPEST = 0.6
 
@@ -52,7 +52,8 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     sized = cut(sizes(docs.withColumn("__source", source_key(F.col(source_col))), id_col, text_col, ("__source",), tokenizer).select(F.col(id_col).alias("doc_id"), F.col("__source").alias("source"), "tokens").where("tokens > 0 and source is not null"))
     goal = {r["s"]: (float(r["share"]), int(r["cap"])) for r in targets.select(source_key(F.col("source")).alias("s"), F.col("target_share").alias("share"), F.col("max_repeats").alias("cap")).where("s is not null and share > 0 and cap >= 1").collect()}
-    have = {r["source"]: int(r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).where(F.col("source").isin(list(goal))).collect()}
+    found = sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).where(F.col("source").isin(list(goal))).collect()
+    have, n_docs = {r["source"]: int(r["t"]) for r in found}, {r["source"]: int(r["n"]) for r in found}
     goal = {s: g for s, g in goal.items() if have.get(s)}
     if not goal:
         return spark.createDataFrame([], "position double, doc_id bigint, copy int, source string, tokens bigint")
@@ -66,12 +67,12 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_co
         demand = shares[s] * total
         passes = min(goal[s][1], int(demand / have[s] + 1e-9))
         rest = max(0.0, demand - passes * have[s]) if passes < goal[s][1] else 0.0
-        rows.append((s, passes, rest, demand, have[s], float(slopes.get(s, 0.0))))
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, passes int, rest double, demand double, have bigint, slope double"))  # one row per target source
+        rows.append((s, passes, rest, demand, have[s], float(slopes.get(s, 0.0)), 1 + n_docs[s] // BUCKET_ROWS))
+    plan = F.broadcast(spark.createDataFrame(rows, "source string, passes int, rest double, demand double, have bigint, slope double, ranges bigint"))  # one row per target source
     place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 40)) / float(1 << 40)
-    summed = prefix_sum(sized.join(plan, "source", "left_semi").withColumn("__p", place), ["source"], "__p", "tokens", "before", tie="doc_id").drop("__p")
+    summed = prefix_sum(sized.join(plan, "source").withColumn("__p", place), ["source"], "__p", "tokens", "before", buckets=F.col("ranges"), tie="doc_id").drop("__p")
     drawn = (
-        summed.join(plan, "source")
+        summed
         .withColumn("n", F.col("passes") + (F.col("before") + F.col("tokens") / 2 <= F.col("rest")).cast("int"))
         .where("n > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))

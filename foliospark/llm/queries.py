@@ -138,6 +138,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(source, off_share, over_cap): whether a source misses its target share by more than half a hundredth or is used too often."""
+    targets = table(spark, d, "mix_targets")
+    r = p9_shares(spark, d).join(targets.select(mixing.source_key(F.col("source")).alias("source"), "max_repeats"), "source")
+    return r.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) > 0.005).alias("off_share"), (F.col("max_used") > F.col("max_repeats")).alias("over_cap"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(table(spark, d, "documents"))
 
@@ -206,6 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_states": f"WITH g AS ({_P4}), s AS (SELECT group_id, count(*) AS n, bool_or(task_id IN (SELECT task_id FROM task_records WHERE task_id IS NOT NULL)) AS old FROM g GROUP BY 1) SELECT CASE WHEN old THEN 'old' ELSE 'new' END AS state, count(*) AS n_components, sum(n)::BIGINT AS n_records FROM s GROUP BY 1",
         "p6_exact": _P6,
         "p8_limits": _NO_BREACH,
+        "p9_checks": "SELECT source, FALSE AS off_share, FALSE AS over_cap FROM mix_targets",
         "p8_tight_limits": _NO_BREACH,
         "p7_found": _P7 + "SELECT g.kept AS kept_task_id, x.task_id AS copy_task_id FROM keyed x JOIN grp g USING (tt, k) WHERE x.task_id <> g.kept",
         "p7_collapsed": _P7 + "SELECT g.kept AS kept_task_id, count(DISTINCT x.task_id) AS n_records FROM keyed x JOIN grp g USING (tt, k) GROUP BY g.kept",

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.plans.scale import cut, hash_sample, salted_join
+from foliospark.plans.scale import cut, hash_sample, is_small, salted_join
 
 SAMPLE_ROWS = 5000
 COMMON = 20_000
@@ -444,8 +444,9 @@ def _labelled(pdf: pd.DataFrame, model: LineModel) -> Iterator[tuple[object, lis
 def prepare(chunks: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, LineModel, DataFrame, set[str]]:
     """Chunks with their source's returning lines, the fitted line model, word counts, and the common words that no confusion made."""
     base = chunks.where("chunk_id is not null and length(trim(text)) > 0").select("chunk_id", F.coalesce(F.trim("source_path"), F.lit("")).alias("source"), F.col("section_title").alias("section"), "text")
-    heads = cut(returning_lines(base))
-    with_keys = salted_join(base, heads, "source", "n", F.col("chunk_id"), "left")
+    base = cut(base)  # read once
+    heads = cut(returning_lines(base), loop=True)
+    with_keys = base.join(heads.drop("n"), "source", "left") if is_small(heads) else cut(salted_join(base, heads, "source", "n", F.col("chunk_id"), "left"))
     sample = hash_sample(with_keys.where(F.contains("text", F.lit("\n"))), sample_rows, "chunk_id", "text", salt=3)
     model = fit_lines([(re.split(r"\r?\n", r["text"]), list(r["keys"] or []), r["section"]) for r in sample.select("text", "keys", "section").collect()])
     counts = cut(word_counts(base))
