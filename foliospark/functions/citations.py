@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import words
+from foliospark.functions.text import bound, words
 
 # Wording of the prompts.
-RAG_INSTRUCTIONS = "Answer the question using the provided context. Cite the sources inline as [#] based on the order of the snippets."
-NO_CONTEXT_INSTRUCTIONS = "Answer the question from your own knowledge. No contexts are provided, so do not include citation markers."
+RAG_INSTRUCTIONS = "Answer the question using the provided context. Cite the sources inline as [#] based on the order of the snippets. If the answer is not in the context, say you don't know."
+NO_CONTEXT_INSTRUCTIONS = "Answer the following question based on your knowledge. Do not include citations or source references as no sources are provided. Provide a clear and concise response."
 
 
 def markers(answer: Column) -> Column:
@@ -50,8 +50,7 @@ def _vocabulary(text: Column) -> Column:
 def verify(answer: Column, contexts: Column) -> dict[str, Column]:
     """Referenced, missing and extra markers; coverage per context is the share of the answer's words (4 letters or more, as a set) found in it."""
     ref, valid = markers(answer), _numbers(contexts)
-    a = _vocabulary(F.coalesce(answer, F.lit("")))
-    cover = F.transform(contexts, lambda c: F.when(F.size(a) > 0, F.size(F.array_intersect(a, _vocabulary(c))) / F.size(a)).otherwise(0.0))
+    cover = bound({"a": _vocabulary(F.coalesce(answer, F.lit(""))), "c": contexts}, lambda s: F.transform(s["c"], lambda c: F.when(F.size(s["a"]) > 0, F.size(F.array_intersect(s["a"], _vocabulary(c))) / F.size(s["a"])).otherwise(0.0)))
     return {"referenced": F.array_intersect(ref, valid), "missing": F.array_except(valid, ref), "extra": F.array_except(ref, valid), "coverage": cover}
 
 
@@ -59,8 +58,8 @@ def evaluate(answer: Column, contexts: Column) -> dict[str, Column]:
     """As :func:`verify`, with coverage as the share of a context's word occurrences that the answer uses, markers stripped."""
     ref, valid = markers(answer), _numbers(contexts)
     strip = lambda t: F.filter(F.regexp_extract_all(F.lower(F.regexp_replace(t, r"\[\d+\]", " ")), F.lit(r"[a-z0-9']+"), F.lit(0)), lambda w: F.length(w) >= 4)
-    a = F.array_distinct(strip(F.coalesce(answer, F.lit(""))))
-    cover = F.transform(contexts, lambda c: F.when(F.size(strip(c)) > 0, F.size(F.filter(strip(c), lambda w: F.array_contains(a, w))) / F.size(strip(c))).otherwise(0.0))
+    found = lambda s, t: F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: F.array_contains(s["a"], w))) / F.size(t)).otherwise(0.0)
+    cover = bound({"a": F.array_distinct(strip(F.coalesce(answer, F.lit("")))), "c": F.transform(contexts, strip)}, lambda s: F.transform(s["c"], lambda t: found(s, t)))
     return {"referenced": ref, "missing": F.array_except(valid, ref), "extra": F.array_except(ref, valid), "coverage": cover}
 
 
@@ -78,9 +77,9 @@ def recall(answer: Column, contexts: Column) -> Column:
 def grounded_fraction(answer: Column, contexts: Column, min_length: int = 3) -> Column:
     """Share of the answer's word occurrences that stand in some context; 0 without words or contexts."""
     toks = lambda t: F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9']+"), F.lit(0)), lambda w: F.length(w) >= min_length)
-    a = toks(F.coalesce(answer, F.lit("")))
-    c = F.array_distinct(F.flatten(F.transform(contexts, toks)))
-    return F.when((F.size(a) > 0) & (F.size(contexts) > 0), F.size(F.filter(a, lambda w: F.array_contains(c, w))) / F.size(a)).otherwise(0.0)
+    values = {"a": toks(F.coalesce(answer, F.lit(""))), "c": F.array_distinct(F.flatten(F.transform(contexts, toks)))}
+    share = bound(values, lambda s: F.size(F.filter(s["a"], lambda w: F.array_contains(s["c"], w))) / F.greatest(F.lit(1), F.size(s["a"])))
+    return F.when(F.size(contexts) > 0, share).otherwise(0.0)
 
 
 def context_jaccard(live: Column, stored: Column, prefix: int = 200) -> Column:
@@ -92,7 +91,8 @@ def context_jaccard(live: Column, stored: Column, prefix: int = 200) -> Column:
 
 def rag_prompt(question: Column, contexts: Column, extra: str = "") -> Column:
     head = f"{RAG_INSTRUCTIONS} {extra.strip()}".strip()
-    block = F.when(F.size(contexts) > 0, F.array_join(number_contexts(contexts), "\n\n")).otherwise("(No contexts provided)")
+    trimmed = F.transform(F.array_compact(contexts), lambda x: F.trim(x))
+    block = F.when(F.size(contexts) > 0, F.array_join(number_contexts(trimmed), "\n\n")).otherwise("(No contexts provided)")
     return F.when(F.trim(question) != "", F.concat(F.lit(f"{head}\n\nContext:\n"), block, F.lit("\n\nQuestion: "), F.trim(question), F.lit("\nAnswer:")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ TRUE_WORDS = ("true", "yes", "y", "1", "on")
 FALSE_WORDS = ("false", "no", "n", "0", "off")
 
 
+def bound(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """``use`` of a struct of values that are computed once, however often it names them."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
+
+
 def words(text: Column) -> Column:
     """Array of the words between any Unicode white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != "")

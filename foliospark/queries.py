@@ -233,13 +233,14 @@ def grounded_fraction(spark: SparkSession, d: str) -> DataFrame:
     return _with_contexts(spark, d).select("task_id", F.round(C.grounded_fraction(F.col("a"), F.col("c")), 6).alias("grounded"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT task_id, c, {_REF} AS r, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z0-9''\\[\\]]+'), lambda w: length(w) >= 4)) AS v, list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(a, '\\[\\d+\\]', ' ', 'g')), '[a-z0-9'']+'), lambda w: length(w) >= 4)) AS u FROM {_CTX})
+SELECT task_id, list_transform(c, lambda x: CASE WHEN len(v) > 0 THEN len(list_intersect(v, regexp_extract_all(lower(x), '[a-z0-9''\\[\\]]+'))) / len(v) ELSE 0.0 END) AS by_answer, list_transform(list_transform(c, lambda x: list_filter(regexp_extract_all(lower(regexp_replace(x, '\\[\\d+\\]', ' ', 'g')), '[a-z0-9'']+'), lambda w: length(w) >= 4)), lambda t: CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda w: list_contains(u, w))) / len(t) ELSE 0.0 END) AS by_context, CASE WHEN len(c) > 0 THEN len(list_intersect(r, range(1, len(c) + 1))) / len(c) END AS presence FROM e""")
 def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     e = _with_contexts(spark, d)
     return e.select("task_id", C.verify(F.col("a"), F.col("c"))["coverage"].alias("by_answer"), C.evaluate(F.col("a"), F.col("c"))["coverage"].alias("by_context"), C.marker_presence(F.col("a"), F.col("c")).alias("presence"))
 
 
-@query(f"""SELECT task_id, md5('{C.RAG_INSTRUCTIONS}' || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN len(c) > 0 THEN array_to_string(CASE WHEN len(list_filter(c, lambda x: NOT regexp_matches(x, '^\\s*\\[\\d+\\]'))) = 0 THEN c ELSE list_transform(c, lambda x, i: '[' || i || '] ' || x) END, chr(10) || chr(10)) ELSE '(No contexts provided)' END || chr(10) || chr(10) || 'Question: ' || trim(q) || chr(10) || 'Answer:') AS h, length(trim(q))::BIGINT AS q_chars FROM {_CTX} WHERE trim(q) <> ''""")
+@query(f"""SELECT task_id, md5('Answer the question using the provided context. Cite the sources inline as [#] based on the order of the snippets. If the answer is not in the context, say you don''t know.' || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN len(c) > 0 THEN array_to_string(CASE WHEN len(list_filter(c, lambda x: NOT regexp_matches(x, '^\\s*\\[\\d+\\]'))) = 0 THEN list_transform(c, lambda x: trim(x)) ELSE list_transform(c, lambda x, i: '[' || i || '] ' || trim(x)) END, chr(10) || chr(10)) ELSE '(No contexts provided)' END || chr(10) || chr(10) || 'Question: ' || trim(q) || chr(10) || 'Answer:') AS h, length(trim(q))::BIGINT AS q_chars FROM {_CTX} WHERE trim(q) <> ''""")
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     e = _with_contexts(spark, d).where("trim(q) <> ''")
     return e.select("task_id", F.md5(C.rag_prompt(F.col("q"), F.col("c"))).alias("h"), F.length(F.trim("q")).cast("bigint").alias("q_chars"))
@@ -251,7 +252,7 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.pack_contexts(x, "task_id", "i", "t", 1500).groupBy("task_id").agg(F.count("*").alias("n"), F.max("used").cast("bigint").alias("used"))
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS (SELECT task_id, list_transform(c, lambda t: floor(len({_w('t')}) * 1.3)::INT) AS k, list_transform(c, lambda t: len({_w('t')})) AS w FROM {_CTX}), r AS (SELECT task_id, k, w, 0 AS i, 0 AS used, 0 AS n, false AS stop FROM x UNION ALL SELECT task_id, k, w, i + 1, CASE WHEN NOT stop AND used + k[i + 1] <= 200 THEN used + k[i + 1] WHEN NOT stop AND n = 0 THEN floor(least(w[i + 1], 153) * 1.3)::INT ELSE used END, n + (NOT stop AND (used + k[i + 1] <= 200 OR n = 0))::INT, stop OR NOT (used + k[i + 1] <= 200 OR n = 0) FROM r WHERE i < len(k)) SELECT task_id, n FROM r WHERE i = len(k)""")
 def context_token_pack(spark: SparkSession, d: str) -> DataFrame:
     return _with_contexts(spark, d).select("task_id", F.size(retrieval.pack_tokens(F.col("c"), 200)).alias("n"))
 
@@ -262,7 +263,7 @@ def context_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return e.select("task_id", F.round(C.context_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query()
+@query(f"""SELECT task_id, CASE WHEN len(c) = 0 THEN 'No context was given.' ELSE trim(CASE WHEN len(list_filter(c, lambda x: NOT regexp_matches(x, '^\\s*\\[\\d+\\]'))) = 0 THEN substr(trim(string_split(trim(c[1]), chr(10))[1]), 4) ELSE string_split(trim(c[1]), chr(10))[1] END) || ' [1]' END AS answer FROM {_CTX} WHERE trim(q) <> ''""")
 def generated_answers(spark: SparkSession, d: str) -> DataFrame:
     e = _with_contexts(spark, d).where("trim(q) <> ''").select("task_id", C.rag_prompt(F.col("q"), F.col("c")).alias("prompt"))
     return plugins.generate(e, "prompt").select("task_id", "answer")
@@ -369,10 +370,10 @@ def split_stats(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("task_type").agg(F.count_if(F.col("split") == "eval").alias("n_eval"), F.count_if(F.col("split") == "train").alias("n_train"))
 
 
-@query(f"""WITH e AS (SELECT task_id, regexp_replace(lower(trim(task_type)), '[^a-z0-9]+', '', 'g') AS t, list_max(coalesce(rag.scores, [])) AS s, coalesce(expected_response, '') AS a, len(coalesce(rag.contexts, [])) AS n FROM {_ONE_EXAMPLE}), r AS (SELECT CASE WHEN t = 'contextualizations' THEN 'task_type' WHEN coalesce(s, 0) < 0.3 THEN 'retrieval_score' WHEN length(a) < 100 THEN 'answer_length' WHEN len(list_filter({_REF}, lambda x: x < 1 OR x > n)) > 0 THEN 'citation' ELSE 'kept' END AS reason FROM e) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
+@query(f"""WITH e AS (SELECT task_id, regexp_replace(lower(trim(task_type)), '[^a-z0-9]+', '', 'g') AS t, list_max(coalesce(rag.scores, [])) AS s, coalesce(expected_response, '') AS a, len(coalesce(rag.contexts, [])) AS n, list_filter(regexp_extract_all(lower(coalesce(expected_response, '')), '[a-z0-9'']+'), lambda w: length(w) >= 3) AS aw, flatten(list_transform(coalesce(rag.contexts, []), lambda x: regexp_extract_all(lower(coalesce(x, '')), '[a-z0-9'']+'))) AS cw FROM {_ONE_EXAMPLE}), e2 AS (SELECT *, CASE WHEN len(aw) > 0 AND n > 0 THEN len(list_filter(aw, lambda w: list_contains(cw, w))) / len(aw) ELSE 0.0 END AS g FROM e), r AS (SELECT CASE WHEN t = 'contextualizations' THEN 'task_type' WHEN coalesce(s, 0) < 0.3 THEN 'retrieval_score' WHEN g < 0.25 THEN 'grounding' WHEN length(a) < 100 THEN 'answer_length' WHEN len(list_filter({_REF}, lambda x: x < 1 OR x > n)) > 0 THEN 'citation' ELSE 'kept' END AS reason FROM e2) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def quality_reasons(spark: SparkSession, d: str) -> DataFrame:
     e = examples(spark, d)
-    reason = dataset.quality_reason(text.task_type(F.col("task_type")), F.array_max("rag.scores"), F.lit(1.0), F.coalesce("expected_response", F.lit("")), F.coalesce("rag.contexts", F.array().cast("array<string>")))
+    reason = dataset.quality_reason(text.task_type(F.col("task_type")), F.array_max("rag.scores"), C.grounded_fraction(F.col("expected_response"), F.coalesce("rag.contexts", F.array().cast("array<string>"))), F.coalesce("expected_response", F.lit("")), F.coalesce("rag.contexts", F.array().cast("array<string>")))
     return e.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -401,7 +402,8 @@ def clean_winners(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "match_results").select("match_id", "winner").distinct().select("match_id", pairwise.clean_winner(F.col("winner")).alias("clean_winner"))
 
 
-@query()
+@query("""SELECT parsed, count(*) AS n FROM (SELECT CASE WHEN try_cast(j AS JSON) IS NOT NULL AND j <> '' THEN CASE WHEN v IN ('win_a', 'a', 'model_a') THEN 'win_a' WHEN v IN ('win_b', 'b', 'model_b') THEN 'win_b' WHEN v IN ('tie', 'draw') THEN 'tie' END ELSE CASE WHEN contains(lower(t), 'win_a') OR regexp_matches(lower(t), '\\b(response|answer|model) a (is better|wins)') THEN 'win_a' WHEN contains(lower(t), 'win_b') OR regexp_matches(lower(t), '\\b(response|answer|model) b (is better|wins)') THEN 'win_b' WHEN regexp_matches(lower(t), '\\btie\\b') THEN 'tie' END END AS parsed FROM (
+  SELECT t, j, lower(trim(coalesce(json_extract_string(try_cast(j AS JSON), '$.verdict'), json_extract_string(try_cast(j AS JSON), '$.winner')))) AS v FROM (SELECT t, CASE WHEN try_cast(x AS JSON) IS NOT NULL AND starts_with(ltrim(x), '{') THEN x WHEN try_cast(x || '}' AS JSON) IS NOT NULL AND starts_with(ltrim(x), '{') THEN x || '}' ELSE regexp_extract(x, '(?s)\\{.*\\}', 0) END AS j FROM (SELECT t, regexp_replace(regexp_replace(trim(t), '^```[A-Za-z]*\\s*', ''), '\\s*```$', '') AS x FROM (SELECT regexp_replace(coalesce(raw_response, ''), '(?s)<think>.*?</think>', '', 'g') AS t FROM judgments))))) GROUP BY 1""")
 def parsed_verdicts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "judgments").select("pair_id", "judge_name", dataset.verdict_of(F.col("raw_response")).alias("parsed"))
     return t.groupBy("parsed").agg(F.count("*").alias("n"))
@@ -493,7 +495,9 @@ def synthetic_comparisons(spark: SparkSession, d: str) -> DataFrame:
     return pairwise.synthetic(s, "task_id", "model_a", "g").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT row_number() OVER (ORDER BY ord, match_id) AS i, model_a AS a, model_b AS b, CASE outcome WHEN 'win_a' THEN 1.0 WHEN 'win_b' THEN 0.0 ELSE 0.5 END AS s FROM {_GAMES}), m AS (SELECT list_sort(list_distinct(list(a) || list(b))) AS l FROM g), k AS (SELECT i, list_position(l, a) AS pa, list_position(l, b) AS pb, s FROM g, m), f AS (
+  SELECT 0::BIGINT AS i, list_transform(l, lambda x: 1500.0::DOUBLE) AS r FROM m UNION ALL SELECT k.i, list_transform(f.r, lambda x, j: CASE WHEN j = pa THEN x + 32 * (s - 1 / (1 + pow(10, (f.r[pb] - f.r[pa]) / 400))) WHEN j = pb THEN x + 32 * ((1 - s) - (1 - 1 / (1 + pow(10, (f.r[pb] - f.r[pa]) / 400)))) ELSE x END) FROM f JOIN k ON k.i = f.i + 1)
+SELECT unnest(l) AS model, round(unnest(r), 6) AS rating FROM f, m WHERE i = (SELECT max(i) FROM f)""")
 def elo_ratings(spark: SparkSession, d: str) -> DataFrame:
     return pairwise.elo(games(spark, d)).drop("tournament")
 
