@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import citations as C
 from foliospark.functions.text import normalise_instruction, words
+from foliospark.plans.scale import BUCKET_ROWS, prefix_sum
+
+#: A stratum is sorted in so many slices.
+SLICES = 256
 
 # What each kind of generated item must have.
 REQUIRED_FIELDS = {"qa": ("question", "answer"), "summaries": ("instruction", "response"), "citations": ("instruction", "answer"), "contextualizations": ("instruction", "response")}
@@ -112,23 +116,34 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, equally many per stratum as far as they go, the rest by hash over all."""
-    strata = df.select(F.coalesce(F.col(stratum), F.lit("unknown")).alias("s")).distinct().count()
+    """n rows, equally many per stratum as far as they go, the rest by hash over all.
+
+    A row can only enter among the n smallest hashes of its stratum. Those are cut
+    within slices of the stratum first, so no task sorts a whole stratum.
+    """
+    s = F.coalesce(F.col(stratum), F.lit("unknown"))
+    strata = df.select(s.alias("s")).distinct().count()
     each = max(1, n // max(1, strata))
-    w = W.partitionBy(F.coalesce(F.col(stratum), F.lit("unknown"))).orderBy("__h", key)
-    ranked = df.withColumn("__h", rank_hash(seed, key)).withColumn("__r", F.row_number().over(w))
+    sliced = W.partitionBy(s, F.pmod(F.xxhash64(key), F.lit(SLICES))).orderBy("__h", key)
+    some = df.withColumn("__h", rank_hash(seed, key)).withColumn("__r", F.row_number().over(sliced)).where(F.col("__r") <= n)
+    ranked = some.withColumn("__r", F.row_number().over(W.partitionBy(s).orderBy("__h", key)))
     return ranked.orderBy((F.col("__r") > each).cast("int"), "__h", key).limit(n).drop("__h", "__r")
 
 
 def paper_split(df: DataFrame, paper: Column, key: str, ratio: float = 0.2, min_eval: int = 1, seed: int = 42) -> DataFrame:
-    """Adds split: per paper a share of examples goes to eval; two or fewer give none, up to four at most one, others leave two for training."""
-    rows = df.withColumn("__p", paper).withColumn("__h", rank_hash(seed, key))
+    """Adds split: per paper a share of examples goes to eval; two or fewer give none, up to four at most one, others leave two for training.
+
+    Ranks within a paper come from the counts of ranges of the hash, so a paper
+    (or all rows that name none) may hold any number of rows.
+    """
+    h = rank_hash(seed, key)
+    rows = df.withColumn("__p", paper).withColumn("__h", F.struct(h.alias("h"), F.col(key).alias("k"))).withColumn("__one", F.lit(1))
+    rows = rows.withColumn("__u", F.conv(F.substring(F.col("__h.h"), 1, 12), 16, 10).cast("double") / float(1 << 48))
     sizes = rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    ranked = prefix_sum(rows.join(sizes, "__p"), ["__p"], "__u", "__one", "__rank", buckets=1 + F.floor(F.col("__n") / BUCKET_ROWS), tie="__h")
     want = F.greatest(F.lit(min_eval), F.bround(F.col("__n") * ratio).cast("int"))
     take = F.when(F.col("__n") <= 2, 0).when(F.col("__n") <= 4, F.least(want, F.lit(1))).otherwise(F.least(want, F.col("__n") - 2))
-    w = W.partitionBy("__p").orderBy("__h", key)
-    ranked = rows.withColumn("__r", F.row_number().over(w)).join(sizes, "__p")
-    return ranked.withColumn("split", F.when(F.col("__r") <= take, "eval").otherwise("train")).drop("__p", "__h", "__r", "__n")
+    return ranked.withColumn("split", F.when(F.col("__rank") < take, "eval").otherwise("train")).select(*df.columns, "split")
 
 
 def citation_compliance(answer: Column, contexts: Column, minimum: float = 0.1) -> Column:

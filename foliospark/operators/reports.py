@@ -190,13 +190,14 @@ def name_list(authors: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != "")))
 
 
-def task_records(items: DataFrame, doc: str, kind: str, instruction: str, order: str, cap: int) -> DataFrame:
-    """Accepted items numbered per document and kind, at most ``cap`` each, with ids '<slug>-<kind>-<nn>'."""
+def task_records(items: DataFrame, doc: str, kind: str, instruction: str, order: str, cap: int | None) -> DataFrame:
+    """Accepted items numbered per document and kind, at most ``cap`` each if there is one, with ids '<slug>-<kind>-<nn>'."""
     from foliospark.functions.text import slug
 
     w = W.partitionBy(doc, kind).orderBy(order)
     ok = items.where(F.coalesce(F.trim(instruction), F.lit("")) != "")
-    n = ok.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= cap)
+    n = ok.withColumn("nn", F.row_number().over(w))
+    n = n if cap is None else n.where(F.col("nn") <= cap)
     return n.withColumn("record_id", F.format_string("%s-%s-%02d", slug(F.col(doc)), F.col(kind), F.col("nn")))
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import words
 from foliospark.plans.scale import cut
 
-#: Queries are searched in blocks of so many, one block in memory at a time.
-QUERY_BLOCK = 1024
+#: Queries are searched in blocks of about so many bytes; a block travels to every task.
+BLOCK_BYTES = 64 << 20
+#: Within a task, a batch of vectors meets so many queries at once.
+STEP = 1024
 
 
 def norm(v: Column) -> Column:
@@ -27,46 +29,69 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k highest scores and their ids, ties to the smaller id; only the candidates at or above the k-th score are sorted."""
+    if scores.shape[1] > k:
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        most = int((scores >= kth).sum(1).max())
+        keep = np.argpartition(-scores, min(most, scores.shape[1]) - 1, axis=1)[:, :most]
+        scores, ids = np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), dtype=np.float64)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1.0)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, embedding: str, k: int, exclude_self: bool = True) -> DataFrame:
     """(query_id, rank, vector_id, score): the k nearest of all vectors by cosine, exactly; ties go to the smaller id.
 
-    Every query meets every vector: each task multiplies its vectors with one
-    block of queries at a time and keeps k per query, and only those partial
-    answers are shuffled. Blocks are shipped one after another, so what is
-    broadcast is bounded by QUERY_BLOCK vectors however many queries there are.
+    Every query meets every vector, in blocks of queries of about BLOCK_BYTES: a
+    block is sent out, each task multiplies its vectors with it and keeps k per
+    query, those partial answers are written, and the block is dropped before the
+    next one - so neither driver nor executors ever hold more than one.
     """
     spark = vectors.sparkSession
     qid, vid = queries.schema[query_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString()
+    result = f"{query_id} {qid}, rank int, {vector_id} {vid}, score double"
     v = vectors.where(F.col(embedding).isNotNull() & F.col(vector_id).isNotNull()).select(F.col(vector_id).alias("v"), F.col(embedding).alias("x"))
-    numbered = cut(queries.where(F.col(embedding).isNotNull()).select(F.col(query_id).alias("q"), F.col(embedding).alias("x")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(1 << 30))))
-    n = numbered.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    asked = cut(queries.where(F.col(embedding).isNotNull()).select(F.col(query_id).alias("q"), F.col(embedding).alias("x"), F.xxhash64(query_id).alias("b")))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    blocks = max(1, -(-(size["n"] * 8 * (size["d"] or 1)) // BLOCK_BYTES))
     parts = []
     for b in range(blocks):
-        rows = numbered.where(F.pmod(F.col("b"), F.lit(blocks)) == b).select("q", "x").toPandas()
+        rows = asked.where(F.pmod("b", F.lit(blocks)) == b).select("q", "x").toPandas()
         if rows.empty:
             continue
-        m = np.array(rows["x"].tolist(), dtype=np.float64)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        state = spark.sparkContext.broadcast((rows["q"].to_numpy(), m / np.where(size > 0, size, 1.0)))
+        state = spark.sparkContext.broadcast((rows["q"].to_numpy(), _unit(rows["x"])))
 
         def search(it: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             ids, q = state.value
+            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * -(-len(ids) // STEP)
             for pdf in it:
-                x = np.array(pdf["x"].tolist(), dtype=np.float64)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ (x / np.where(size > 0, size, 1.0)).T, 9)
-                own = pdf["v"].to_numpy()
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                got = np.take_along_axis(s, order, 1)
-                keep = np.isfinite(got)
-                yield pd.DataFrame({"q": np.repeat(ids, order.shape[1])[keep.ravel()], "v": own[order].ravel()[keep.ravel()], "score": got.ravel()[keep.ravel()]})
-
-        parts.append(v.mapInPandas(search, f"q {qid}, v {vid}, score double"))
+                x, own = _unit(pdf["x"]), pdf["v"].to_numpy()
+                for i in range(len(best)):
+                    part = slice(i * STEP, (i + 1) * STEP)
+                    s = np.round(q[part] @ x.T, 9)
+                    if exclude_self:
+                        s[ids[part, None] == own[None, :]] = -np.inf
+                    names = np.broadcast_to(own, s.shape)
+                    old = best[i]
+                    best[i] = _best(s, names, k) if old is None else _best(np.hstack([old[0], s]), np.hstack([old[1], names]), k)
+            for i, found in enumerate(best):
+                if found is not None:
+                    keep = np.isfinite(found[0]).ravel()
+                    yield pd.DataFrame({"q": np.repeat(ids[i * STEP : (i + 1) * STEP], found[0].shape[1])[keep], "v": found[1].ravel()[keep], "score": found[0].ravel()[keep]})
+
+        got = v.mapInPandas(search, f"q {qid}, v {vid}, score double")
+        parts.append(cut(got) if blocks > 1 else got)
+        if blocks > 1:
+            state.destroy()
     if not parts:
-        return spark.createDataFrame([], f"{query_id} {qid}, rank int, {vector_id} {vid}, score double")
+        return spark.createDataFrame([], result)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -142,3 +167,49 @@ def index_issues(chunks: DataFrame, embeddings: DataFrame, dimension: int, id_ch
         )
     )
     return row.select(F.explode(kinds).alias("i")).select("i.*")
+
+
+# --- index ------------------------------------------------------------------
+
+
+def build_index(chunks: DataFrame, root: str, id_col: str, text_col: str, keep: list[str], embed: Callable[[Column], Column] = hashed_embedding, model: str = "hashed") -> None:
+    """Write an index below ``root``: unit vectors, the map of chunks, and one row of metadata (model, dimension, count)."""
+    ids = chunks.where(F.col(id_col).isNotNull() & (F.trim(text_col) != "")).dropDuplicates([id_col])
+    v = ids.select(F.col(id_col), embed(F.col(text_col)).alias("__x"))
+    v.select(id_col, F.transform(F.col("__x"), lambda a: a / norm(F.col("__x"))).alias("embedding")).write.mode("overwrite").parquet(f"{root}/vectors")
+    ids.select(id_col, *keep, F.col(text_col).alias("text")).write.mode("overwrite").parquet(f"{root}/mapping")
+    written = chunks.sparkSession.read.parquet(f"{root}/vectors")
+    written.agg(F.lit(model).alias("model"), F.max(F.size("embedding")).alias("dimension"), F.count("*").alias("n_vectors")).coalesce(1).write.mode("overwrite").json(f"{root}/meta")
+
+
+def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, mapping, meta) of an index written by :func:`build_index`."""
+    return spark.read.parquet(f"{root}/vectors"), spark.read.parquet(f"{root}/mapping"), spark.read.schema("model string, dimension int, n_vectors bigint").json(f"{root}/meta")
+
+
+def ask(questions: DataFrame, vectors: DataFrame, mapping: DataFrame, question_id: str, question: str, chunk_id: str, k: int, max_chars: int = 6000, keep: int | None = None, embed: Callable[[Column], Column] = hashed_embedding, reranker: str | None = None, generator: str | None = None) -> DataFrame:
+    """(question_id, prompt, contexts, sources, ids, scores, answer): retrieve, re-rank, render, pack and prompt, and the generator's answer if one is named.
+
+    ``mapping`` has chunk_id, text, source_path, page and section_title. Contexts
+    are headed by section and page and numbered by rank; those that pass
+    ``max_chars`` stay in ``contexts`` but out of the prompt.
+    """
+    from foliospark.functions import citations as C
+    from foliospark.functions import plugins
+
+    asked = questions.where(F.trim(question) != "").select(question_id, F.trim(question).alias("__q"))
+    q = asked.select(question_id, embed(F.col("__q")).alias("embedding"))
+    hits = top_k(q, vectors, question_id, chunk_id, "embedding", k, exclude_self=False)
+    full = hits.join(mapping, chunk_id)
+    if reranker is not None:
+        full = plugins.score_pairs(full.join(asked, question_id), "__q", "text", reranker, "reranker_score").drop("__q")
+        full = rerank(full, question_id, F.col("reranker_score"), keep or k).drop("rank").withColumnRenamed("new_rank", "rank")
+    elif keep is not None:
+        full = full.where(F.col("rank") <= keep)
+    header = C.context_header(F.col("section_title"), F.col("page"))
+    body = F.when(header != "", F.concat(header, F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+    ranked = full.select(question_id, F.struct("rank", F.col(chunk_id).alias("id"), F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), body).alias("context"), C.source_ref(F.col("source_path"), F.col("page")).alias("source"), "score").alias("h"))
+    one = ranked.groupBy(question_id).agg(F.array_sort(F.collect_list("h")).alias("h")).join(asked, question_id)  # at most k hits each
+    fits = F.aggregate("h.context", F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("stop")), lambda s, x: F.struct((s["used"] + F.length(x) + 2).alias("used"), (s["n"] + (~s["stop"] & (s["used"] + F.length(x) + 2 <= max_chars)).cast("int")).alias("n"), (s["stop"] | (s["used"] + F.length(x) + 2 > max_chars)).alias("stop")), lambda s: s["n"])
+    done = one.withColumn("prompt", C.rag_prompt(F.col("__q"), F.slice(F.col("h.context"), 1, fits))).select(question_id, "prompt", F.col("h.context").alias("contexts"), F.col("h.source").alias("sources"), F.col("h.id").alias("ids"), F.col("h.score").alias("scores"))
+    return done if generator is None else plugins.generate(done, "prompt", generator)

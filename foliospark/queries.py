@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import citations as C
 from foliospark.functions import plugins, quality, text
-from foliospark.operators import catalog, chunking, compare, dataset, pairwise, reports, retrieval, scoring
-from foliospark.plans.scale import cut
+from foliospark.operators import catalog, chunking, compare, dataset, evaluation, pairwise, reports, retrieval, scoring
+from foliospark.plans.scale import cut, shared_folder
 from foliospark.sources import writers
 from foliospark.sources.tables import table
 from foliospark.streaming import incremental as inc
@@ -234,10 +235,11 @@ def grounded_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH e AS (SELECT task_id, c, {_REF} AS r, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z0-9''\\[\\]]+'), lambda w: length(w) >= 4)) AS v, list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(a, '\\[\\d+\\]', ' ', 'g')), '[a-z0-9'']+'), lambda w: length(w) >= 4)) AS u FROM {_CTX})
-SELECT task_id, list_transform(c, lambda x: CASE WHEN len(v) > 0 THEN len(list_intersect(v, regexp_extract_all(lower(x), '[a-z0-9''\\[\\]]+'))) / len(v) ELSE 0.0 END) AS by_answer, list_transform(list_transform(c, lambda x: list_filter(regexp_extract_all(lower(regexp_replace(x, '\\[\\d+\\]', ' ', 'g')), '[a-z0-9'']+'), lambda w: length(w) >= 4)), lambda t: CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda w: list_contains(u, w))) / len(t) ELSE 0.0 END) AS by_context, CASE WHEN len(c) > 0 THEN len(list_intersect(r, range(1, len(c) + 1))) / len(c) END AS presence FROM e""")
+SELECT task_id, round(coalesce(list_sum(list_transform(c, lambda x: CASE WHEN len(v) > 0 THEN len(list_intersect(v, regexp_extract_all(lower(x), '[a-z0-9''\\[\\]]+'))) / len(v) ELSE 0.0 END)), 0), 6) AS by_answer, round(coalesce(list_sum(list_transform(list_transform(c, lambda x: list_filter(regexp_extract_all(lower(regexp_replace(x, '\\[\\d+\\]', ' ', 'g')), '[a-z0-9'']+'), lambda w: length(w) >= 4)), lambda t: CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda w: list_contains(u, w))) / len(t) ELSE 0.0 END)), 0), 6) AS by_context, CASE WHEN len(c) > 0 THEN len(list_intersect(r, range(1, len(c) + 1))) / len(c) END AS presence FROM e""")
 def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     e = _with_contexts(spark, d)
-    return e.select("task_id", C.verify(F.col("a"), F.col("c"))["coverage"].alias("by_answer"), C.evaluate(F.col("a"), F.col("c"))["coverage"].alias("by_context"), C.marker_presence(F.col("a"), F.col("c")).alias("presence"))
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
+    return e.select("task_id", total(C.verify(F.col("a"), F.col("c"))["coverage"]).alias("by_answer"), total(C.evaluate(F.col("a"), F.col("c"))["coverage"]).alias("by_context"), C.marker_presence(F.col("a"), F.col("c")).alias("presence"))
 
 
 @query(f"""SELECT task_id, md5('Answer the question using the provided context. Cite the sources inline as [#] based on the order of the snippets. If the answer is not in the context, say you don''t know.' || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN len(c) > 0 THEN array_to_string(CASE WHEN len(list_filter(c, lambda x: NOT regexp_matches(x, '^\\s*\\[\\d+\\]'))) = 0 THEN list_transform(c, lambda x: trim(x)) ELSE list_transform(c, lambda x, i: '[' || i || '] ' || trim(x)) END, chr(10) || chr(10)) ELSE '(No contexts provided)' END || chr(10) || chr(10) || 'Question: ' || trim(q) || chr(10) || 'Answer:') AS h, length(trim(q))::BIGINT AS q_chars FROM {_CTX} WHERE trim(q) <> ''""")
@@ -505,10 +507,10 @@ def elo_ratings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def elo_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     counts = games(spark, d).groupBy("model_a", "model_b", "outcome").agg(F.count("*").alias("n"))
-    return pairwise.bootstrap(counts, rounds=50)
+    return pairwise.bootstrap(counts, rounds=1000)
 
 
-@query()
+@query(_SQL["elo_ratings"].replace("SELECT unnest(l) AS model", ", e AS (SELECT unnest(l) AS model").replace("(SELECT max(i) FROM f)", "(SELECT max(i) FROM f))") + f", c AS ({_SQL['win_counts']}) SELECT * FROM e JOIN c USING (model)")
 def elo_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     g = games(spark, d)
     return pairwise.leaderboard(pairwise.elo(g).drop("tournament"), pairwise.win_counts(g))
@@ -603,12 +605,12 @@ def run_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    return inc.final_batch(inc.tumbling(inc.file_stream(spark, f"{d}/events.parquet"), "ts", "event_type", "value"))
+    return inc.final_batch(inc.tumbling(inc.file_stream(spark, f"{d}/events.parquet"), "ts", "event_type", "value"), ["window_start", "event_type"])
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) - to_hours(k) AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return inc.final_batch(inc.sliding(inc.file_stream(spark, f"{d}/events.parquet"), "ts", "event_type"))
+    return inc.final_batch(inc.sliding(inc.file_stream(spark, f"{d}/events.parquet"), "ts", "event_type"), ["window_start", "event_type"])
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 minutes THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, s")
@@ -714,10 +716,259 @@ def author_papers(spark: SparkSession, d: str) -> DataFrame:
     return p.distinct().groupBy("author").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT task_id, slug || '-' || kind || '-' || lpad(n::VARCHAR, greatest(2, length(n::VARCHAR))::INT, '0') AS record_id FROM (SELECT task_id, regexp_replace(regexp_replace(lower(doc), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, kind, row_number() OVER (PARTITION BY doc, kind ORDER BY task_id) AS n FROM (SELECT task_id, regexp_replace(regexp_extract(doc_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS doc, CASE k WHEN 'question' THEN 'qa' WHEN 'question_answer' THEN 'qa' WHEN 'qna' THEN 'qa' WHEN 'summary' THEN 'summaries' WHEN 'summarization' THEN 'summaries' WHEN 'citation' THEN 'citations' WHEN 'contextual' THEN 'contextualizations' WHEN 'contextualization' THEN 'contextualizations' ELSE k END AS kind, instruction FROM (SELECT DISTINCT ON (task_id) *, regexp_replace(regexp_replace(lower(trim(task_type)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM task_records WHERE trim(doc_path) <> '' ORDER BY task_id)) WHERE coalesce(trim(instruction), '') <> '')")
 def task_record_ids(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "task_records").where("trim(doc_path) <> ''").dropDuplicates(["task_id"]).select("task_id", text.path_stem(F.col("doc_path")).alias("doc"), text.task_type(F.col("task_type")).alias("kind"), "instruction")
-    return reports.task_records(t, "doc", "kind", "instruction", "task_id", 99).select("task_id", "record_id")
+    return reports.task_records(t, "doc", "kind", "instruction", "task_id", None).select("task_id", "record_id")
+
+
+# --- questions, judges, evaluation ---------------------------------------------------
+
+_CHUNK = "(SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL AND trim(text) <> '' ORDER BY chunk_id)"
+_LETTERS = "list_transform(range(97, 123), lambda i: (length({0}) - length(replace({0}, chr(i::INT), '')))::DOUBLE)"
+
+
+def letter_embedding(t: Column) -> Column:
+    """Stand-in embedder that any engine can compute: how often each letter occurs."""
+    low = F.lower(t)
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(chr(i)), F.lit("")))).cast("double") for i in range(97, 123)))
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    retrieval.build_index(table(spark, d, "chunks"), root, "chunk_id", "text", ["source_path", "page", "section_title"], letter_embedding, "letters")
+    return retrieval.load_index(spark, root)
+
+
+@query(f"SELECT 'letters' AS model, 26::BIGINT AS dimension, count(*) AS n_vectors, count(*) AS n_mapped, count(*) FILTER (WHERE regexp_matches(lower(text), '[a-z]')) AS n_unit FROM {_CHUNK}")
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    v, m, meta = _index(spark, d)
+    unit = v.where(F.abs(retrieval.dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-9)
+    return meta.select("model", F.col("dimension").cast("bigint").alias("dimension"), "n_vectors", m.agg(F.count("*")).scalar().alias("n_mapped"), unit.agg(F.count("*")).scalar().alias("n_unit"))
+
+
+_ASKED = f"""WITH q AS (SELECT DISTINCT match_id, trim(question) AS q, {_LETTERS.format('lower(trim(question))')} AS e FROM match_results WHERE match_id % 100 = 0 AND trim(question) <> ''), c AS (SELECT *, {_LETTERS.format('lower(text)')} AS e FROM {_CHUNK}),
+s AS (SELECT match_id, q, chunk_id, text, source_path, page, section_title, coalesce(round(list_cosine_similarity(q.e, c.e), 9), 0) AS s FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY CASE WHEN isnan(s) THEN 0 ELSE s END DESC, chunk_id) AS rank FROM s QUALIFY rank <= 6),
+x AS (SELECT *, '[' || rank || '] ' || CASE WHEN h <> '' THEN h || chr(10) ELSE '' END || text AS context, CASE WHEN coalesce(page, 0) <> 0 THEN source_path || '#page=' || page ELSE source_path END AS source FROM (SELECT *, concat_ws(' | ', CASE WHEN coalesce(trim(section_title), '') <> '' THEN 'Section: ' || section_title END, CASE WHEN coalesce(page, 0) <> 0 THEN 'Page ' || page END) AS h FROM r)),
+u AS (SELECT *, sum(length(context) + 2) OVER (PARTITION BY match_id ORDER BY rank) AS used FROM x)"""
+
+
+def _ask(spark: SparkSession, d: str, **more: object) -> DataFrame:
+    v, m, _ = _index(spark, d)
+    q = table(spark, d, "match_results").where("match_id % 100 = 0").select("match_id", "question").distinct()
+    return retrieval.ask(q, v, m, "match_id", "question", "chunk_id", 6, 2500, embed=letter_embedding, **more)
+
+
+@query(_ASKED + """ SELECT match_id, count(*) AS n_contexts, md5('Answer the question using the provided context. Cite the sources inline as [#] based on the order of the snippets. If the answer is not in the context, say you don''t know.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(string_agg(trim(context), chr(10) || chr(10) ORDER BY rank) FILTER (WHERE used <= 2500), '(No contexts provided)') || chr(10) || chr(10) || 'Question: ' || any_value(q) || chr(10) || 'Answer:') AS h, md5(string_agg(source, ',' ORDER BY rank)) AS sources FROM u GROUP BY match_id""")
+def rag_query(spark: SparkSession, d: str) -> DataFrame:
+    return _ask(spark, d).select("match_id", F.size("contexts").cast("bigint").alias("n_contexts"), F.md5("prompt").alias("h"), F.md5(F.array_join("sources", ",")).alias("sources"))
+
+
+@query(_ASKED + """, w AS (SELECT *, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM r), z AS (SELECT *, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) ELSE 0.0 END AS second FROM w)
+SELECT match_id, chunk_id, row_number() OVER (PARTITION BY match_id ORDER BY second DESC, rank) AS place FROM z QUALIFY place <= 3""")
+def rag_reranked(spark: SparkSession, d: str) -> DataFrame:
+    return _ask(spark, d, reranker="overlap", keep=3).select("match_id", F.posexplode("ids").alias("p", "chunk_id")).select("match_id", "chunk_id", (F.col("p") + 1).cast("bigint").alias("place"))
+
+
+_ONE_MATCH = "(SELECT DISTINCT ON (match_id) * FROM match_results ORDER BY match_id)"
+
+
+@query(f"SELECT 'longer' AS judge_name, CASE WHEN length(a) = length(b) THEN 'tie' WHEN length(a) > length(b) THEN 'win_a' ELSE 'win_b' END AS verdict, count(*) AS n FROM (SELECT regexp_replace(coalesce(response_a, ''), '^[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g') AS a, regexp_replace(coalesce(response_b, ''), '^[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g') AS b FROM {_ONE_MATCH}) GROUP BY 1, 2")
+def judge_table(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "match_results").dropDuplicates(["match_id"]).select("match_id", "question", "response_a", "response_b")
+    judged = plugins.judge_pairs(m, "question", "response_a", "response_b", dataset.presentation_order(F.col("match_id").cast("string")), ["longer"])
+    return judged.groupBy("judge_name", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT (('0x' || substr(md5('42|' || match_id), 1, 8))::BIGINT % 2) = 1 AS swapped, count(*) AS n, count(*) FILTER (WHERE lower(trim(winner)) = 'a') AS a_wins FROM {_ONE_MATCH} GROUP BY 1")
+def presentation_orders(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "match_results").dropDuplicates(["match_id"])
+    swapped = dataset.presentation_order(F.col("match_id").cast("string"))
+    turned = dataset.unswap(dataset.unswap(pairwise.clean_winner(F.col("winner")), swapped), swapped)
+    return m.groupBy(swapped.alias("swapped")).agg(F.count("*").alias("n"), F.count_if(turned == "win_a").alias("a_wins"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE o = 'tie') AS ties, count(*) FILTER (WHERE o = 'first') AS wins_first, count(*) FILTER (WHERE o = 'second') AS wins_second, round(CASE WHEN count(*) FILTER (WHERE o <> 'tie') > 0 THEN (count(*) FILTER (WHERE o = 'first') - count(*) FILTER (WHERE o <> 'tie') / 2) / sqrt(count(*) FILTER (WHERE o <> 'tie') / 4) ELSE 0.0 END, 6) AS z FROM (SELECT CASE WHEN w = 'tie' THEN 'tie' WHEN w = f THEN 'first' WHEN w IS NOT NULL AND f IS NOT NULL THEN 'second' END AS o FROM (SELECT CASE lower(trim(winner)) WHEN 'a' THEN 'win_a' WHEN 'b' THEN 'win_b' WHEN 'tie' THEN 'tie' END AS w, CASE WHEN presentation_order IS NULL THEN NULL WHEN regexp_matches(lower(presentation_order), '^\\W*b') THEN 'win_b' ELSE 'win_a' END AS f FROM {_ONE_MATCH}))")
+def position_bias(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "match_results").dropDuplicates(["match_id"])
+    first = F.when(F.lower("presentation_order").rlike(r"^\W*b"), "win_b").when(F.col("presentation_order").isNotNull(), "win_a")
+    return pairwise.position_bias(m, first, pairwise.clean_winner(F.col("winner")))
+
+
+_S = "coalesce(element_at(scores_a, '{0}')[1], 0.0)"
+
+
+@query("SELECT n_rows, round(n_pass / n_rows, 6) AS pass_rate, round(o, 6) AS mean_overall FROM (SELECT count(*) AS n_rows, avg(" + " + ".join(f"{w} * {_S.format(k)}" for k, w in (("factuality", 0.4), ("grounding", 0.3), ("completeness", 0.2), ("communication", 0.1))) + ") AS o, count(*) FILTER (WHERE round(" + " + ".join(f"{w} * {_S.format(k)}" for k, w in (("factuality", 0.4), ("grounding", 0.3), ("completeness", 0.2), ("communication", 0.1))) + ", 12) >= 0.65 AND least(1.0, " + ", ".join(_S.format(k) for k in ("factuality", "grounding", "completeness", "communication")) + ") >= 0.4) AS n_pass FROM judgments)")
+def weighted_pass(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "judgments")
+    scores = F.coalesce("scores_a", F.create_map().cast("map<string,double>"))
+    return j.agg(F.count("*").alias("n_rows"), F.round(F.avg(scoring.passed(scores, scoring.RAG_WEIGHTS).cast("double")), 6).alias("pass_rate"), F.round(F.avg(scoring.overall(scores, scoring.RAG_WEIGHTS)), 6).alias("mean_overall"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE least(a, b, c, e) >= 0.6 AND round(a + b, 12) >= 1.4) AS n_pass FROM (SELECT element_at(scores_a, 'grounding')[1] AS a, element_at(scores_b, 'grounding')[1] AS b, element_at(scores_a, 'clarity')[1] AS c, element_at(scores_b, 'clarity')[1] AS e FROM judgments) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND e IS NOT NULL")
+def dataset_judge_pass(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    r = table(spark, d, "judgments").select(at("scores_a", "grounding").alias("a"), at("scores_b", "grounding").alias("b"), at("scores_a", "clarity").alias("c"), at("scores_b", "clarity").alias("e")).where("a is not null and b is not null and c is not null and e is not null")
+    ok = scoring.verdict_passed(F.col("a"), F.col("b"), F.col("c"), F.col("e"), F.lit(None).cast("boolean"))
+    return r.agg(F.count("*").alias("n"), F.count_if(ok).alias("n_pass"))
+
+
+@query("SELECT skipped, skip_reason, count(*) AS n FROM (SELECT round(confidence, 9) < 0.75 AS skipped, CASE WHEN round(confidence, 9) < 0.75 THEN 'low_confidence' END AS skip_reason FROM (" + _Q + ")) GROUP BY 1, 2")
+def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
+    q = extraction_quality(spark, d)
+    return dataset.confidence_gate(q, F.round("confidence", 9), 0.75).groupBy("skipped", "skip_reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH e AS (SELECT task_id, c, {_REF} AS r, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z0-9''\\[\\]]+'), lambda w: length(w) >= 4)) AS v FROM {_CTX}), k AS (SELECT *, list_transform(c, lambda x: CASE WHEN len(v) > 0 THEN len(list_intersect(v, regexp_extract_all(lower(x), '[a-z0-9''\\[\\]]+'))) / len(v) ELSE 0.0 END) AS p FROM e)
+SELECT coalesce(CASE WHEN len(list_filter(r, lambda x: x >= 1 AND x <= len(c))) = 0 THEN 'no_citation' WHEN len(list_filter(r, lambda x: x < 1 OR x > len(c))) > 0 THEN 'out_of_range' WHEN coalesce(list_max(p), 0.0) < 0.3 THEN 'low_coverage' END, 'fine') AS reason, count(*) AS n FROM k GROUP BY 1""")
+def citation_compliance(spark: SparkSession, d: str) -> DataFrame:
+    reason = dataset.citation_compliance(F.col("a"), F.col("c"), 0.3)
+    return _with_contexts(spark, d).groupBy(F.coalesce(reason, F.lit("fine")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT task_type AS name, count(DISTINCT md5(instruction)) AS n_digests FROM task_records WHERE instruction IS NOT NULL GROUP BY 1 HAVING count(DISTINCT md5(instruction)) > 1")
+def dataset_versions(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "task_records").select(F.col("task_type").alias("name"), F.md5("instruction").alias("h"))
+    return compare.versions(t.where("h is not null"), "name", "h").select("name", F.size("digests").cast("bigint").alias("n_digests"))
+
+
+@query("SELECT x AS task_type FROM (SELECT unnest(['qa', 'summaries', 'citations', 'contextualizations', 'absent']) AS x) WHERE x NOT IN (SELECT task_type FROM task_records WHERE task_type IS NOT NULL)")
+def missing_labels(spark: SparkSession, d: str) -> DataFrame:
+    return reports.missing_labels(["qa", "summaries", "citations", "contextualizations", "absent"], table(spark, d, "task_records").where("task_type is not null"), "task_type")
+
+
+_RUNS = "(SELECT judge_name, count(*) AS n, count(*) FILTER (WHERE trim(error) <> '') AS bad FROM judgments GROUP BY 1)"
+
+
+@query(f"SELECT judge_name AS label, unnest(list_filter([CASE WHEN n = 0 THEN 'empty' END, CASE WHEN n > 0 AND n < 30 THEN 'too_few_examples' END, CASE WHEN n > 0 AND bad / n > 0.03 THEN 'high_error_rate' END], lambda x: x IS NOT NULL)) AS kind FROM {_RUNS}")
+def run_sanity(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "judgments").groupBy("judge_name").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("error") != "", F.lit(False))).alias("bad"))
+    return compare.sanity(r, "judge_name", "n", "bad", 30, 0.03)
+
+
+@query("SELECT judge_name, CASE WHEN g AND j THEN 'both' WHEN g THEN 'generation' WHEN j THEN 'judge' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT judge_name, regexp_matches(lower(error), 'timeout|connection') AS g, regexp_matches(lower(error), 'json|parse') AS j FROM judgments WHERE trim(error) <> '') GROUP BY 1, 2")
+def error_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "judgments").where("trim(error) <> ''")
+    part = lambda k, p: F.when(F.lower("error").rlike(p), F.create_map(F.lit(k), F.col("error"))).otherwise(F.create_map().cast("map<string,string>"))
+    rest = F.create_map(F.lit("seen"), F.col("error"))
+    return reports.error_breakdown(e.withColumn("errors", F.map_concat(part("generation", "timeout|connection"), part("judge", "json|parse"), rest)), "judge_name", "errors")
+
+
+@query("WITH s AS (SELECT source_path, max(page) AS page_count, coalesce(nullif(max(token_end), 0), sum(len(" + _w("text") + "))) AS token_count FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks ORDER BY chunk_id) WHERE trim(source_path) <> '' GROUP BY 1) SELECT source_path, kind FROM (SELECT source_path, unnest(list_filter([CASE WHEN coalesce(page_count, 0) = 0 THEN 'missing_pages' END, CASE WHEN token_count < 500 THEN 'too_few_tokens' END, CASE WHEN token_count > 8000 THEN 'too_many_tokens' END], lambda x: x IS NOT NULL)) AS kind FROM s)")
+def corpus_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.corpus_warnings(catalog.document_stats(table(spark, d, "chunks")), "source_path", "token_count", "page_count", 500, 8000)
+
+
+# --- reports on examples, documents and judges ---------------------------------------------
+
+
+@query("SELECT doc_id, round(CASE WHEN n > 0 THEN 1000 * len(regexp_extract_all(t, '\\[\\d+\\]')) / n ELSE 0.0 END, 6) AS markers_per_1k, round(CASE WHEN n > 0 THEN 1000 * len(regexp_extract_all(t, 'https?://')) / n ELSE 0.0 END, 6) AS urls_per_1k, len(regexp_extract_all(t, '(?m)^\\s*\\d+\\.?\\s+https?://'))::BIGINT AS footnote_urls FROM (SELECT doc_id, coalesce(text, '') AS t, len(" + _w("text") + ") AS n FROM documents)")
+def text_densities(spark: SparkSession, d: str) -> DataFrame:
+    q = evaluation.densities(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.round(q["markers_per_1k"], 6).alias("markers_per_1k"), F.round(q["urls_per_1k"], 6).alias("urls_per_1k"), q["footnote_urls"].alias("footnote_urls"))
+
+
+@query("SELECT text_path AS source_path, CASE WHEN text_path IN (SELECT source_path FROM papers WHERE source_path IS NOT NULL) THEN 'found' ELSE 'missing' END AS state FROM " + _MANIFEST)
+def paper_whitelist(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "chunks").where("trim(source_path) <> ''").select("source_path")
+    return evaluation.whitelist(table(spark, d, "papers"), wanted, "source_path")
+
+
+@query(f"""WITH e AS (SELECT task_id, coalesce(rag.sources[1], '') AS d, regexp_replace({_norm('instruction')}, '[?.!]+$', '') AS k, coalesce(expected_response, '') AS a, len(coalesce(rag.contexts, [])) AS n FROM {_ONE_EXAMPLE} WHERE task_id IS NOT NULL), i AS (SELECT *, {_REF} AS r, CASE WHEN k <> '' THEN min(task_id) OVER (PARTITION BY d, k) END AS f, CASE WHEN k <> '' THEN min(task_id) OVER (PARTITION BY k) END AS g FROM e)
+SELECT task_id, kind FROM (SELECT task_id, unnest(list_filter([CASE WHEN k = '' THEN 'empty_instruction' END, CASE WHEN len({_w('a')}) = 0 THEN 'empty_answer' END, CASE WHEN task_id <> f THEN 'repeated_in_document' WHEN task_id <> g THEN 'repeated_elsewhere' END, CASE WHEN len(list_filter(r, lambda x: x < 1 OR x > n)) > 0 THEN 'citation_out_of_range' END], lambda x: x IS NOT NULL)) AS kind FROM i)""")
+def example_issues(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.example_issues(examples(spark, d), "task_id", F.coalesce(F.try_element_at("rag.sources", F.lit(1)), F.lit("")), "instruction", "expected_response", F.col("rag.contexts"))
+
+
+_STEM = "lower(regexp_replace(regexp_extract({0}, '[^/]*$'), '(.)\\.[^.]*$', '\\1'))"
+
+
+@query(f"WITH m AS (SELECT {_STEM.format('source_path')} AS k, arg_min({{'primary_category': primary_category, 'title': title}}, coalesce(primary_category, '') || chr(1) || coalesce(title, '')) AS m FROM papers WHERE trim(source_path) <> '' GROUP BY 1) SELECT text_path, page_count, bytes, document_id, m.m.primary_category AS primary_category, m.m.title AS title FROM {_MANIFEST} f LEFT JOIN m ON m.k = {_STEM.format('text_path')}")
+def document_profile(spark: SparkSession, d: str) -> DataFrame:
+    m = catalog.manifest(table(spark, d, "chunks"))
+    return evaluation.document_profile(m, table(spark, d, "papers"), "text_path", "source_path", ["primary_category", "title"]).select("text_path", "page_count", "bytes", "document_id", "primary_category", "title")
+
+
+@query("SELECT coalesce(a.p, b.p) AS doc_path, coalesce(n_log, 0) AS n_log, coalesce(n_tasks, 0) AS n_tasks, CASE WHEN n_log IS NULL THEN 'tasks' WHEN n_tasks IS NULL THEN 'log' ELSE 'both' END AS side FROM (SELECT source_path AS p, count(*) AS n_log FROM papers WHERE source_path IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT doc_path AS p, count(*) AS n_tasks FROM task_records WHERE doc_path IS NOT NULL GROUP BY 1) b ON a.p = b.p")
+def log_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.log_coverage(table(spark, d, "papers").withColumnRenamed("source_path", "doc_path"), table(spark, d, "task_records"), "doc_path")
+
+
+@query(f"WITH a AS (SELECT task_id, min(CASE lower(trim(winner)) WHEN 'a' THEN 'win_a' WHEN 'b' THEN 'win_b' WHEN 'tie' THEN 'tie' END) AS label FROM match_results WHERE task_id IS NOT NULL GROUP BY 1), j AS (SELECT task_id, {_VERDICT} AS verdict FROM judgments WHERE task_id IS NOT NULL) SELECT label, verdict, count(*) AS n FROM a JOIN j USING (task_id) WHERE label IS NOT NULL AND verdict IS NOT NULL GROUP BY 1, 2")
+def annotations_against_judges(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "match_results").where("task_id is not null").groupBy("task_id").agg(F.min(pairwise.clean_winner(F.col("winner"))).alias("label"))
+    v = F.regexp_replace(F.lower(F.trim("verdict")), "[^a-z]+", "_")
+    j = table(spark, d, "judgments").where("task_id is not null").select("task_id", F.when(v.isin("win_a", "win_b", "tie"), v).alias("verdict"))
+    return evaluation.against_judges(a, j, "task_id", "label", "verdict")
+
+
+@query("WITH t AS (SELECT judge_name, row_number() OVER (ORDER BY count(*) DESC, judge_name) AS r FROM judgments GROUP BY 1), s AS (SELECT r, model_a AS condition, element_at(scores_a, 'grounding')[1] AS s FROM judgments JOIN t USING (judge_name) WHERE r <= 2), m AS (SELECT condition, avg(s) FILTER (WHERE r = 1) AS x, avg(s) FILTER (WHERE r = 2) AS y FROM s WHERE s IS NOT NULL GROUP BY 1) SELECT condition, round(x, 6) AS mean_a, round(y, 6) AS mean_b, round(x - y, 6) AS diff, round(abs(x - y), 6) AS abs_diff FROM m WHERE x IS NOT NULL AND y IS NOT NULL")
+def judge_gap(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "judgments")
+    a, b = (r["judge_name"] for r in j.groupBy("judge_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "judge_name").limit(2).collect())
+    return evaluation.judge_gap(j, "judge_name", "model_a", F.try_element_at("scores_a", F.lit("grounding")), a, b)
+
+
+@query(f"SELECT count(*) AS n, round(avg(p), 6) AS mean, round(min(p), 6) AS least, round(max(p), 6) AS most FROM (SELECT len(list_intersect({_REF}, range(1, len(c) + 1))) / len(c) AS p FROM {_CTX} WHERE len(c) > 0)")
+def coverage_stats(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.coverage_stats(_with_contexts(spark, d), F.col("a"), F.col("c"))
+
+
+@query(f"WITH e AS (SELECT coalesce(t, 'unknown') AS task_type, (len({_w('q')}) = 0)::INT + (len({_w('a')}) = 0)::INT AS e, CASE WHEN len(c) > 0 THEN len(list_intersect({_REF}, range(1, len(c) + 1))) / len(c) END AS p FROM (SELECT split AS t, coalesce(expected_response, '') AS a, coalesce(rag.contexts, []) AS c, coalesce(instruction, '') AS q FROM {_ONE_EXAMPLE})) SELECT task_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM e), 6) AS share, sum(e)::BIGINT AS empty_fields, round(avg(p), 6) AS mean_coverage, count(*) < 100 AS below_minimum FROM e GROUP BY 1")
+def dataset_report(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.quality_report(examples(spark, d), F.col("split"), "instruction", "expected_response", F.coalesce("rag.contexts", F.array().cast("array<string>")), 100)
+
+
+_ROWS = f"""(WITH e AS (SELECT task_id, q, a, c, {_REF} AS r, range(1, len(c) + 1) AS v, list_distinct(list_filter(regexp_extract_all(lower(a), '[a-z0-9''\\[\\]]+'), lambda w: length(w) >= 4)) AS w4, list_filter(regexp_extract_all(lower(a), '[a-z0-9'']+'), lambda w: length(w) >= 3) AS t3, flatten(list_transform(c, lambda x: regexp_extract_all(lower(coalesce(x, '')), '[a-z0-9'']+'))) AS k3 FROM {_CTX}), p AS (SELECT *, list_transform(c, lambda x: CASE WHEN len(w4) > 0 THEN len(list_intersect(w4, regexp_extract_all(lower(x), '[a-z0-9''\\[\\]]+'))) / len(w4) ELSE 0.0 END) AS cov FROM e)
+SELECT task_id, len({_w('a')})::BIGINT AS answer_words, len(list_intersect(r, v))::BIGINT AS n_referenced, len(list_filter(v, lambda x: NOT list_contains(r, x)))::BIGINT AS n_missing, len(list_filter(r, lambda x: NOT list_contains(v, x)))::BIGINT AS n_extra, round(CASE WHEN len(r) = 0 THEN CASE WHEN len(v) = 0 THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(r, v)) / len(r) END, 6) AS precision, round(CASE WHEN len(v) = 0 THEN CASE WHEN len(r) = 0 THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(r, v)) / len(v) END, 6) AS recall,
+  round(CASE WHEN len(c) > 0 THEN list_sum(cov) / len(c) END, 6) AS mean_coverage, round(CASE WHEN len(t3) > 0 AND len(c) > 0 THEN len(list_filter(t3, lambda w: list_contains(k3, w))) / len(t3) ELSE 0.0 END, 6) AS grounded FROM p)"""
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.evaluated(_with_contexts(spark, d), "task_id", "q", "a", F.col("c")).drop("prompt_chars")
+
+
+@query(f"SELECT * FROM {_ROWS}")
+def evaluated_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d)
+
+
+@query(f"WITH e AS (SELECT * FROM {_ROWS}), l AS (SELECT unnest(['precision', 'recall', 'mean_coverage', 'grounded']) AS metric, unnest([precision, recall, mean_coverage, grounded]) AS v FROM e), w AS (SELECT count(*) AS n_rows, round(avg((precision >= 0.5)::INT), 6) AS pass_rate, round(avg((answer_words = 0)::INT), 6) AS error_rate FROM e) SELECT metric, count(v) AS n, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std, any_value(n_rows) AS n_rows, any_value(pass_rate) AS pass_rate, any_value(error_rate) AS error_rate FROM l, w WHERE v IS NOT NULL GROUP BY metric")
+def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.metrics_summary(_evaluated(spark, d), ["precision", "recall", "mean_coverage", "grounded"], F.col("precision") >= 0.5, F.col("answer_words") == 0)
+
+
+@query("SELECT judge_name, len(h)::BIGINT AS n_found, array_to_string(list_filter(['high', 'low', 'medium'], lambda x: NOT list_contains(h, x)), ',') AS missing FROM (SELECT judge_name, coalesce(list(DISTINCT confidence) FILTER (WHERE confidence IN ('high', 'low', 'medium')), []) AS h FROM judgments GROUP BY 1)")
+def artifact_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.artifact_coverage(table(spark, d, "judgments"), "judge_name", F.col("confidence"), ["high", "medium", "low"])
+
+
+@query("SELECT task_type, row_number() OVER (PARTITION BY task_type ORDER BY task_id) AS rank, task_id FROM (SELECT DISTINCT task_type, task_id FROM task_records WHERE task_type IS NOT NULL AND task_id IS NOT NULL) QUALIFY rank <= 5")
+def first_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.first_per_key(table(spark, d, "task_records"), "task_type", "task_id", 5)
+
+
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY md5('42|' || chunk_id), chunk_id) AS r FROM (SELECT DISTINCT source_path, chunk_id FROM chunks WHERE trim(source_path) <> '') QUALIFY r <= 4) SELECT source_path, chunk_id, row_number() OVER (PARTITION BY source_path ORDER BY chunk_id) AS place FROM k")
+def random_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.random_chunks(table(spark, d, "chunks"), "source_path", "chunk_id", 4)
+
+
+@query("WITH s AS (SELECT pair_id, avg(element_at(scores_a, 'grounding')[1]) AS s FROM judgments GROUP BY 1) SELECT pair_id, coalesce(abs(round(s, 9) - 0.5) < 0.1, false) AS near FROM s ORDER BY coalesce(abs(round(s, 9) - 0.5) < 0.1, false) DESC, md5('42|' || pair_id), pair_id LIMIT 40")
+def disagreement_sample(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "judgments").groupBy("pair_id").agg(F.avg(F.try_element_at("scores_a", F.lit("grounding"))).alias("s"))
+    return evaluation.disagreement_sample(s, "pair_id", F.round("s", 9), 0.1, 40).select("pair_id", "near")
+
+
+@query("WITH m AS (SELECT setup AS l, avg(params_b) AS v FROM model_cards WHERE setup IS NOT NULL GROUP BY 1) SELECT x.l AS label_a, y.l AS label_b, round(x.v - y.v, 6) AS diff, abs(round(x.v - y.v, 6)) > 2 AS differs FROM m x JOIN m y ON x.l < y.l")
+def mean_matrix(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "model_cards").where("setup is not null").groupBy("setup").agg(F.avg("params_b").alias("v"))
+    return evaluation.mean_matrix(m, "setup", "v", 2.0)
+
+
+@query("SELECT CASE WHEN trim(error) <> '' THEN 'error' WHEN verdict IS NULL THEN 'unknown' ELSE 'success' END AS status, count(*) AS n, coalesce(sum(cardinality(scores_a)), 0)::BIGINT AS n_items FROM judgments GROUP BY 1")
+def log_status(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.trim("error") != "", "error").when(F.col("verdict").isNotNull(), "success")
+    return evaluation.log_status(table(spark, d, "judgments"), status, F.when(F.col("scores_a").isNotNull(), F.size("scores_a")))
 
 
 def queries() -> dict[str, Query]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +25,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, drop_
 
 
 def jsonl_issues(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, kind): lines that are no JSON object, with their number within the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "text"))
+    """(path, line, kind): lines that are no JSON object, with their number within the file.
+
+    Files are read in splits; a line's number is its place in its split, told by
+    consecutive ids, after the lines of the splits before.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"), F.rtrim("value").alias("text"))
+    splits = lines.groupBy("path", "start").agg(F.min("i").alias("lo"), F.count("*").alias("n"))
+    bases = splits.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     bad = F.try_parse_json("text").isNull() | ~F.ltrim("text").startswith("{")
-    return lines.where((F.trim("text") != "") & bad).select("path", (F.col("i") + 1).alias("line"), F.lit("invalid_json").alias("kind"))
+    return lines.where((F.trim("text") != "") & bad).join(bases, ["path", "start"]).select("path", (F.col("before") + F.col("i") - F.col("lo") + 1).cast("int").alias("line"), F.lit("invalid_json").alias("kind"))
+
+
+def count_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n): lines of each file that aren't blank."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("path"))
+    return lines.groupBy("path").agg(F.count("*").alias("n"))
 
 
 def read_chunk_map(spark: SparkSession, path: str) -> DataFrame:

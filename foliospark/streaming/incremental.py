@@ -46,8 +46,13 @@ def _closed(events: DataFrame, ts: str, delay: str) -> DataFrame:
     return events.withColumn("ts", F.col(ts).cast("timestamp")).withWatermark("ts", delay)
 
 
-def final_batch(stream: DataFrame) -> DataFrame:
-    """The state of an aggregation in update mode after everything available: the last row of each key wins by arrival."""
+def final_batch(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The state of an aggregation after everything available.
+
+    With ``keys`` in update mode: each batch writes only rows that changed, state
+    behind the watermark is dropped, and the last row of a key counts. Without
+    (session windows can't be updated) in complete mode, the last batch counts.
+    """
     spark = stream.sparkSession
     root = scratch(spark)
     keep = root + "/data"
@@ -55,9 +60,11 @@ def final_batch(stream: DataFrame) -> DataFrame:
     def save(df: DataFrame, epoch: int) -> None:
         df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(keep)
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", root + "/state").foreachBatch(save).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", root + "/state").foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.read.parquet(keep)
+    if keys:
+        return got.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("r")).select("r.*")
     return got.where(F.col("epoch") == got.agg(F.max("epoch")).scalar()).drop("epoch")
 
 
@@ -78,7 +85,7 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> D
     return e.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-def first_seen(events: DataFrame, ts: str, key: str, delay: str = "3650 days") -> DataFrame:
+def first_seen(events: DataFrame, ts: str, key: str, delay: str = "45 days") -> DataFrame:
     """One event per key, whichever comes first; duplicates within the delay are dropped."""
     return _closed(events, ts, delay).dropDuplicatesWithinWatermark([key])
 
