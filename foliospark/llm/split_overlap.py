@@ -34,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -208,9 +209,31 @@ def same_answer(aa: str, ab: str, share: float = SHARE) -> bool:
     return found >= 0.66 * total and used >= 0.5 * sum(map(len, b))
 
 
+@lru_cache(maxsize=50_000)
+def _question(text: str) -> tuple[list[str], Counter[str], frozenset[str]]:
+    words = _split_words(text)
+    return words, Counter(words), frozenset(_names(text))
+
+
+def may_be_same_question(qa: str, qb: str, share: float = SHARE) -> bool:
+    """A cheap condition that :func:`same_question` can't hold without: few words on one side only, and of names and numbers none that isn't misspelt or joined."""
+    (a, ca, na), (b, cb, nb) = _question(qa), _question(qb)
+    if ca == cb:
+        return True
+    most = max(2, share * min(len(a), len(b))) + JOINED
+    names = na | nb
+    for more, words in ((ca - cb, b), (cb - ca, a)):
+        if sum(more.values()) > most:
+            return False
+        for w in more:
+            if (w in names or any(c.isdigit() for c in w)) and not any(v != w and (w in v or v in w or _swapped(w, v)) for v in words):
+                return False
+    return True
+
+
 def _verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        keep = [same_question(r.q_e, r.q_t) and same_answer(r.a_e, r.a_t) for r in pdf.itertuples()]
+        keep = [may_be_same_question(r.q_e, r.q_t) and same_question(r.q_e, r.q_t) and same_answer(r.a_e, r.a_t) for r in pdf.itertuples()]
         yield pdf.loc[keep, ["rep_e", "rep_t"]]
 
 
@@ -268,7 +291,7 @@ def class_links(reps: DataFrame) -> DataFrame:
 
 def linked_classes(df: DataFrame, id_col: str = "task_id", question: str = "instruction", answer: str = "expected_response", split_col: str = "split") -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of classes (e1, e2, t1, t2), and every record (id, side, split, c1, c2) of the classes."""
-    recs = classes(df, id_col, question, answer, split_col)
+    recs = cut(classes(df, id_col, question, answer, split_col))  # read once
     links = cut(class_links(representatives(recs)))
     return links, recs.select("id", "side", "split", "c1", "c2").distinct()
 
