@@ -9,9 +9,10 @@ Near stage, on classes instead of records, so that copies are never compared
 with each other: two classes become candidates when they share a key of the
 question and one of the answer. Keys don't depend on where a word stands, and are
 so many that two texts which the check below lets pass have one in common (prefix
-filter): the rarest words of the question, each with all digits of it; all words of
-the answer; the sorted numbers of a sentence; the rarest words of a sentence
-without numbers. Every candidate is then checked word by word: nothing but common
+filter): the rarest words of the question down to the first name, which the other
+one must hold too, each with all digits of it; all words of the answer; the sorted
+numbers of a sentence; the rarest words of a sentence without numbers. A name that is
+written apart in one question and together in the other has keys of its own. Every candidate is then checked word by word: nothing but common
 words may differ in the question, and the sentences of the shorter answer must be
 found in the other with the same numbers. The candidate join has no cap.
 
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.canon import field_pairs, multiset_hash, squeeze
-from foliospark.plans.scale import cut, skew_join
+from foliospark.plans.scale import cut, packed, release, skew_join
 
 COMMON = 1000
 COMMON_ANSWER = 30
@@ -50,6 +51,10 @@ COMMON_ANSWER = 30
 SHARE = 0.25
 #: Words written apart in one text and together in the other, which the check doesn't count as changes.
 JOINED = 2
+#: A name may be written apart in so many words.
+APART = 3
+#: So many keys of names written apart may be shared with all tasks; if there are more, each record gives all of its own.
+MAX_APART = 1 << 20
 # What a citation mark and a sentence end look like.
 CITATION = r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]"
 SENTENCE_END = r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\n\r]+"
@@ -72,16 +77,58 @@ def _rarest(words: list[str], common: dict[str, int], most: int) -> list[str]:
     return sorted(set(words), key=lambda w: (common.get(w, 0), _hash(w)))[:most]
 
 
+@lru_cache(maxsize=200_000)
+def _letters(word: str) -> str:
+    """The same for two words of which one is the other with neighbours swapped."""
+    return "".join(sorted(word))
+
+
+def _by_letters(common: dict[str, int]) -> dict[str, int]:
+    out: Counter[str] = Counter()
+    for w, n in common.items():
+        out[_letters(w)] += n
+    return dict(out)
+
+
+def _prefix(words: list[str], names: set[str], common: dict[str, int]) -> tuple[list[str], str | None]:
+    """Words, as their letters, from the rarest down to the first name, which is returned too; ``common`` is by letters."""
+    named = {_letters(w): w for w in words if w in names}
+    out = []
+    for x in _rarest(list(map(_letters, words)), common, max(2, int(SHARE * len(words))) + 1 + JOINED):
+        out.append(x)
+        if x in named:
+            return out, named[x]
+    return out, None
+
+
 def question_keys(question: str, common: dict[str, int]) -> list[str]:
     """Strings of which two questions share one if :func:`same_question` can hold for them.
 
     It lets at most SHARE of the words of either, or two, be changed, and no digit,
     but for two that trade places; so one more of the rarest words is shared, and
-    the digits are the same in any order.
+    the digits are the same in any order. Names may not be changed at all, but for
+    letters that trade places: no word before the rarest shared one is in the other
+    text, hence none of them is a name, unless words were joined (:func:`apart_keys`).
     """
-    words = _split_words(question)
     digits = "".join(sorted(c for c in question if c.isdigit()))
-    return [f"{digits} {w}" for w in _rarest(words, common, max(2, int(SHARE * len(words))) + 1 + JOINED)]
+    return [f"{digits} {x}" for x in _prefix(_split_words(question), _names(question), common)[0]]
+
+
+def _runs(words: list[str], at: int, least: int = 2) -> set[str]:
+    """Up to APART words from ``at`` on as one."""
+    return {"".join(words[at : at + k]) for k in range(least, APART + 1) if at + k <= len(words)}
+
+
+def apart_keys(question: str, common: dict[str, int]) -> tuple[set[str], set[str]]:
+    """Strings (of the name at which :func:`question_keys` ends, of all words): where that name is written apart in one of two questions and together in the other, one of either's first and one of the other's second are the same."""
+    words = _split_words(question)
+    name = _prefix(words, _names(question), common)[1]
+    own: set[str] = set()
+    if name:
+        own.add(f"whole {name}")
+        for i in (i for i, w in enumerate(words) if w == name):
+            own |= {f"parts {r}" for k in range(max(0, i - APART + 1), i + 1) for r in _runs(words, k, max(2, i - k + 1))}
+    return own, {f"parts {w}" for w in words} | {f"whole {r}" for i in range(len(words)) for r in _runs(words, i)}
 
 
 def answer_keys(answer: str, common: dict[str, int]) -> set[str]:
@@ -234,7 +281,7 @@ def may_be_same_question(qa: str, qb: str, share: float = SHARE) -> bool:
 def _verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         keep = [may_be_same_question(r.q_e, r.q_t) and same_question(r.q_e, r.q_t) and same_answer(r.a_e, r.a_t) for r in pdf.itertuples()]
-        yield pdf.loc[keep, ["rep_e", "rep_t"]]
+        yield pdf.loc[keep, ["e1", "e2", "t1", "t2"]]
 
 
 def classes(df: DataFrame, id_col: str, question: str, answer: str, split_col: str) -> DataFrame:
@@ -257,7 +304,27 @@ def _common(reps: DataFrame, words: Column, share: int) -> dict[str, int]:
 def representatives(recs: DataFrame) -> DataFrame:
     """(rep, c1, c2, side, q, a): one text per class and side, numbered."""
     reps = recs.groupBy("c1", "c2", "side").agg(F.min_by(F.struct("q", "a"), "id").alias("r"))
-    return cut(reps.select(F.monotonically_increasing_id().alias("rep"), "c1", "c2", "side", "r.q", "r.a"))
+    return packed(reps.select(F.monotonically_increasing_id().alias("rep"), "c1", "c2", "side", "r.q", "r.a"))
+
+
+def _names_apart(reps: DataFrame, common: dict[str, int]) -> set[int] | None:
+    """Keys of names that are written apart somewhere and together elsewhere; None if there are too many to share."""
+
+    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            own: set[str] = set()
+            of_all: set[str] = set()
+            for q in pdf["q"]:
+                x, y = apart_keys(q, common)
+                own |= x
+                of_all |= y
+            yield pd.DataFrame([(_hash(w), w in own, w in of_all) for w in own | of_all], columns=["key", "own", "rest"])
+
+    both = reps.select("q").mapInPandas(keys, "key bigint, own boolean, rest boolean").groupBy("key").agg(F.bool_or("own").alias("own"), F.bool_or("rest").alias("rest")).where("own and rest").select("key")
+    found = cut(both.limit(MAX_APART + 1))
+    out = {r["key"] for r in found.collect()}
+    release(found)
+    return out if len(out) <= MAX_APART else None
 
 
 def class_links(reps: DataFrame) -> DataFrame:
@@ -265,35 +332,41 @@ def class_links(reps: DataFrame) -> DataFrame:
     spark = reps.sparkSession
     both = reps.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n = 2")
     exact = both.select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("c1").alias("t1"), F.col("c2").alias("t2"))
-    state = spark.sparkContext.broadcast((_common(reps, _tokens(F.col("q")), COMMON), _common(reps, _tokens(_answer_text(F.col("a"))), COMMON_ANSWER)))
+    of_questions = _by_letters(_common(reps, _tokens(F.col("q")), COMMON))
+    state = spark.sparkContext.broadcast((of_questions, _common(reps, _tokens(_answer_text(F.col("a"))), COMMON_ANSWER), _names_apart(reps, of_questions)))
 
     def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common_q, common_a = state.value
+        common_q, common_a, apart = state.value
         for pdf in it:
             rows = []
             for rep, train, q, a in zip(pdf["rep"], pdf["train"], pdf["q"], pdf["a"], strict=True):
                 of_answer = answer_keys(a, common_a)
                 rows += [(rep, train, _hash(w, s)) for w in question_keys(q, common_q) for s in of_answer]
+                if apart is None or apart:
+                    own, of_all = apart_keys(q, common_q)
+                    # A name of one side meets all words of the other one only.
+                    rows += [(rep, train, _hash("name", side, w)) for side, ws in (("train", own if train else of_all), ("eval", of_all if train else own)) for w in ws if apart is None or _hash(w) in apart]
             yield pd.DataFrame(rows, columns=["rep", "train", "key"])
 
-    keyed = cut(reps.select("rep", (F.col("side") == "train").alias("train"), "q", "a").mapInPandas(keys, "rep bigint, train boolean, key bigint"))
+    keyed = packed(reps.select("rep", (F.col("side") == "train").alias("train"), "q", "a").mapInPandas(keys, "rep bigint, train boolean, key bigint"))
     e = keyed.where("not train").select("key", F.col("rep").alias("rep_e"))
     t = keyed.where("train").select("key", F.col("rep").alias("rep_t"))
-    pairs = skew_join(t, e, ["key"], "rep_t").select("rep_e", "rep_t").distinct()
-    text_e = reps.where("side = 'eval'").select(F.col("rep").alias("rep_e"), F.col("q").alias("q_e"), F.col("a").alias("a_e"), F.col("c1").alias("x1"), F.col("c2").alias("x2"))
-    text_t = reps.where("side = 'train'").select(F.col("rep").alias("rep_t"), F.col("q").alias("q_t"), F.col("a").alias("a_t"), F.col("c1").alias("y1"), F.col("c2").alias("y2"))
-    checked = pairs.join(text_e, "rep_e").join(text_t, "rep_t").where("x1 <> y1 or x2 <> y2")
-    near = cut(checked.select("rep_e", "rep_t", "q_e", "q_t", "a_e", "a_t").mapInPandas(_verify, "rep_e bigint, rep_t bigint"))
-    hashes = reps.select("rep", "c1", "c2")
-    named = near.join(hashes.toDF("rep_e", "e1", "e2"), "rep_e").join(hashes.toDF("rep_t", "t1", "t2"), "rep_t")
-    return exact.unionByName(named.select("e1", "e2", "t1", "t2"))
+    pairs = packed(skew_join(t, e, ["key"], "rep_t").select("rep_e", "rep_t").distinct(), keyed)
+    text_e = reps.where("side = 'eval'").select(F.col("rep").alias("rep_e"), F.col("q").alias("q_e"), F.col("a").alias("a_e"), F.col("c1").alias("e1"), F.col("c2").alias("e2"))
+    text_t = reps.where("side = 'train'").select(F.col("rep").alias("rep_t"), F.col("q").alias("q_t"), F.col("a").alias("a_t"), F.col("c1").alias("t1"), F.col("c2").alias("t2"))
+    checked = pairs.join(text_e, "rep_e").join(text_t, "rep_t").where("e1 <> t1 or e2 <> t2")
+    near = checked.select("e1", "e2", "t1", "t2", "q_e", "q_t", "a_e", "a_t").mapInPandas(_verify, "e1 bigint, e2 bigint, t1 bigint, t2 bigint")
+    return cut(exact.unionByName(near), pairs)
 
 
 def linked_classes(df: DataFrame, id_col: str = "task_id", question: str = "instruction", answer: str = "expected_response", split_col: str = "split") -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of classes (e1, e2, t1, t2), and every record (id, side, split, c1, c2) of the classes."""
-    recs = cut(classes(df, id_col, question, answer, split_col))  # read once
-    links = cut(class_links(representatives(recs)))
-    return links, recs.select("id", "side", "split", "c1", "c2").distinct()
+    recs = packed(classes(df, id_col, question, answer, split_col))  # read once
+    reps = representatives(recs)
+    members = cut(recs.select("id", "side", "split", "c1", "c2").distinct(), recs)
+    links = class_links(reps)
+    release(reps)
+    return links, members
 
 
 def overlaps(df: DataFrame, id_col: str = "task_id", question: str = "instruction", answer: str = "expected_response", split_col: str = "split") -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +46,8 @@ def cut(df: DataFrame, *done: DataFrame, loop: bool = False) -> DataFrame:
     the size of the files decides whether joins may broadcast the rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    with _shuffles_dropped(df.sparkSession):
+        out = df.select("*").checkpoint(eager=True)
     if loop:
         spark = df.sparkSession
         rdd = out._jdf.queryExecution().logical().rdd()
@@ -55,14 +59,48 @@ def cut(df: DataFrame, *done: DataFrame, loop: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs here are deleted as it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def packed(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """The same rows, written compressed to the shared checkpoint folder; :func:`cut` writes them as they lie in memory.
+
+    For steps between, which are large: their files stay until :func:`release`
+    gets the result itself. ``done`` are earlier results that nothing needs any longer.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/packed-{uuid.uuid4().hex}"
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._packed = path
+    release(*done)
+    return out
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether ``df`` is a cut of a loop that was found small enough to broadcast."""
     return df._jdf.queryExecution().analyzed().getClass().getSimpleName() in ("UnresolvedHint", "ResolvedHint")
 
 
 def release(*cuts: DataFrame) -> None:
-    """Delete the files of results of :func:`cut`; other data frames are left alone."""
+    """Delete the files of results of :func:`cut` and :func:`packed`; other data frames are left alone."""
     for df in cuts:
+        if path := getattr(df, "_packed", None):
+            sc = df.sparkSession.sparkContext
+            file = sc._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(sc._jsc.hadoopConfiguration()).delete(file, True)
+            continue
         plan = df._jdf.queryExecution().analyzed()
         if plan.getClass().getSimpleName() in ("UnresolvedHint", "ResolvedHint"):
             plan = plan.child()
