@@ -45,6 +45,21 @@ def test_pair_defects(spark):
     assert pair_defects.defects(df.where("false")).count() == 0
 
 
+def test_pair_defects_counts_every_answer(spark):
+    """Each of these ends is whole by one answer alone, wherever it stands among more than 20,000 pairs; a sample held about half."""
+    words = ["quorble", "zentrify", "plavish", "mordax", "trindle", "fescule", "wambert", "yostrel"]
+    schema = "table_name string, record_id string, q string, a string"
+    filler = spark.range(40_000).select(F.lit("t").alias("table_name"), F.concat(F.lit("f"), "id").alias("record_id"), F.lit(None).cast("string").alias("q"), F.lit("Yes.").alias("a"))
+    known = [("t", f"k{w}", Q, f"Nothing else was ever called a {w}.") for w in words]
+    asks = [("t", f"a{w}", Q, f"In the end all of the readers preferred a {w}") for w in words]
+    cut = [("t", "cut", Q, "In the end all of the readers preferred an unseenw")]
+    df = filler.unionByName(spark.createDataFrame(known + asks + cut, schema))
+    assert rows(pair_defects.defects(df)) == [("t", "cut", "truncated")]
+    # In parts, if more contexts are asked for than the driver may hold.
+    small = spark.createDataFrame(known + asks + cut, schema)
+    assert rows(pair_defects.defects(small, max_contexts=3)) == [("t", "cut", "truncated")]
+
+
 def test_pair_defects_long_text(spark):
     df = spark.createDataFrame([("t", "long", Q, "Grofunet gains 3.2 points. " * 20000)], "table_name string, record_id string, q string, a string")
     assert pair_defects.defects(df).count() == 0
